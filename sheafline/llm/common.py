@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,25 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 16 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("to") == sc.applicationId:
+        return
+    top = Path(__file__).resolve().parent.parent
+    at = Path(tempfile.mkdtemp(prefix="sheafline-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(at))
+    _SHIPPED["to"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,6 +63,7 @@ class Workspace:
     """Tables written under the shared folder; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.tables: list[str] = []
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

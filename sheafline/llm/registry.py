@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, embedding_dedup, exact_dedup, mixing, ngram_join, token_counts, token_files
 from .common import Workspace, read
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_documents(read(spark, sf_dir, "documents"), Workspace(spark, "op1"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(read(spark, sf_dir, "documents"), Workspace(spark, "op3"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(read(spark, sf_dir, "documents"), Workspace(spark, "op6"), path, public_tokenizers.PATTERN)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"), Workspace(spark, "op8"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"), Workspace(spark, "op9"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), Workspace(spark, "op10"))
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_counts": op2_token_counts,
+    "op3_token_files": op3_token_files,
+    "op6_byte_level_bpe": op6_byte_level_bpe,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLES = {"op8_embedding_near_dedup": embedding_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
