@@ -43,10 +43,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[start : start + length] for each pair, joined."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return values[shift + np.arange(total)]
+    out = np.empty(int(lengths.sum()), values.dtype)
+    done = 0
+    for i in range(0, len(lengths), 1 << 18):  # the index arrays stay small
+        n = lengths[i : i + (1 << 18)]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        out[done : done + total] = values[np.repeat(starts[i : i + (1 << 18)] - (ends - n), n) + np.arange(total)]
+        done += total
+    return out
 
 
 def blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
@@ -136,45 +141,52 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(b for _, b in table), np.uint8), np.r_[0, np.cumsum(size)]
 
 
+def decoded_batches(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray, rows: int = 128):
+    """Batches with the bytes of each id in the table joined in order, a few rows at a time."""
+    for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+        lists = part.column(1)
+        ids = lists.flatten().to_numpy()
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        size = at[ids + 1] - at[ids]
+        out = ragged(data, at[ids], size)
+        upto = np.r_[0, np.cumsum(size)][offsets]
+        raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([part.column(0), lists, raw], ["doc_id", "ids", "text_bytes"])
+
+
+def digested(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists, raw = batch.column(1), batch.column(2)
+    ids = lists.flatten().to_numpy().astype("<u4", copy=False)
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    columns = [
+        batch.column(0),
+        pa.array(np.diff(at).astype(np.int64)),
+        pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
+        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text_bytes: each id joined with its bytes in the fixed-size table, in order."""
     def run(batches):
         data, at = token_bytes(path)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                lists = part.column(1)
-                ids = lists.flatten().to_numpy()
-                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                size = at[ids + 1] - at[ids]
-                out = ragged(data, at[ids], size)
-                upto = np.r_[0, np.cumsum(size)][offsets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])],
-                    ["doc_id", "ids", "text_bytes"],
-                )
+            yield from decoded_batches(batch, data, at)
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text_bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: decoding and digests in one Python stage."""
     def run(batches):
+        data, at = token_bytes(path)
         for batch in batches:
-            lists, raw = batch.column(1), batch.column(2)
-            ids = lists.flatten().to_numpy().astype("<u4")
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(at).astype(np.int64)),
-                    pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
-                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in decoded_batches(batch, data, at):
+                yield digested(part)
 
-    return decoded.mapInArrow(run, DIGESTED)
+    return encoded.mapInArrow(run, DIGESTED)
 
 
 def round_trip(docs: DataFrame, ws: Workspace, path: str, pattern: str) -> DataFrame:
-    return digests(decode(encode(docs, ws, path, pattern), path))
+    return digests(encode(docs, ws, path, pattern), path)

@@ -25,6 +25,7 @@ SAMPLE = 20_000
 #: Voters for and against, and features of the classifier.
 FOR, AGAINST, FEATURES = 96, 16, 3000
 SUPPORT = 5  # documents that a feature needs
+PURE = 30  # times as common in toxic documents as in others, for a voter
 PREFIXES = (3, 4, 5, 6)
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 REMEMBERED = 400_000
@@ -69,6 +70,32 @@ class Features(dict):
         return sorted(found)
 
 
+def cover(rows: list[set[int]], candidates: list[int], most: int, least: int = 2) -> list[int]:
+    """Of the candidates, those that in turn add the most rows that too few of the chosen ones speak for.
+
+    A row is spoken for by two, so that voters overlap and their agreement tells of them.
+    """
+    wanted = set(candidates)
+    need = [2] * len(rows)
+    at: dict[int, list[int]] = {c: [] for c in candidates}
+    for i, r in enumerate(rows):
+        for f in r & wanted:
+            at[f].append(i)
+    gain = {c: len(x) for c, x in at.items()}
+    chosen: list[int] = []
+    while gain and len(chosen) < most:
+        best = max(gain, key=lambda c: (gain[c], -c))
+        if gain.pop(best) < least:
+            break
+        chosen.append(best)
+        for i in at[best]:
+            need[i] -= 1
+            if need[i] == 0:
+                for f in rows[i] & gain.keys():
+                    gain[f] -= 1
+    return chosen
+
+
 @dataclass
 class LabelModel:
     """P(vote | class) per voter, and weights that discount correlated voters."""
@@ -119,7 +146,7 @@ def fit_label_model(votes: np.ndarray, side: np.ndarray, prior: float, rounds: i
     return model
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, size: int, decay: float = 2e-5, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_linear(rows: list[list[int]], target: np.ndarray, size: int, decay: float = 1e-6, steps: int = 500, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by Adam over all rows."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([np.array(r, np.int64) for r in rows]) if len(at) else np.zeros(0, np.int64)
@@ -186,21 +213,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     score = F.log(p / q) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     ranked = counted.where((F.col("f") != "") & (F.col("pos") + F.col("neg") >= SUPPORT)).select("f", "pos", "neg", score.alias("z"))
     top = ranked.orderBy(F.abs("z").desc(), "f").limit(FEATURES).collect()
-    pro = [r for r in top if r.z > 0 and r.pos / n_pos > 10 * r.neg / n_neg][:FOR]
-    con = [r for r in top if r.z < 0][:AGAINST]
     names = [r.f for r in top]
-    at = {f: i for i, f in enumerate(names)}
+    pro = [i for i, r in enumerate(top) if r.pos / n_pos > PURE * r.neg / n_neg]
+    con = [i for i, r in enumerate(top) if r.z < 0][:AGAINST]
 
     def hits(batches):
         features = Features(names)
         for ys, whole in text_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array([features.of(t) for t in whole], pa.list_(pa.int32()))], ["y", "hits"])
 
-    rows = [list(r) for r in taught.mapInArrow(hits, "y int, hits array<int>").toArrow().column("hits").to_pylist()]
-    voters = np.array([at[r.f] for r in (*pro, *con)])
-    side = np.r_[np.ones(len(pro)), np.zeros(len(con))]
-    if not len(pro):
+    found = taught.mapInArrow(hits, "y int, hits array<int>").toArrow()
+    rows, y = found.column("hits").to_pylist(), np.array(found.column("y").to_pylist())
+    pro = cover([set(r) for r, k in zip(rows, y) if k], pro, FOR)
+    if not pro:
         return None
+    voters = np.array([*pro, *con])
+    side = np.r_[np.ones(len(pro)), np.zeros(len(con))]
     spot = np.full(len(names), -1)
     spot[voters] = np.arange(len(voters))
     votes = np.zeros((len(rows), len(voters)))
