@@ -234,7 +234,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_STRIP = f"regexp_replace({{0}}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
 _MARK = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {p}" for p, k in enumerate(EVENT_MARKERS, 1)) + " END"
 _LANGS = {1: "python", 2: "javascript", 3: "rust", 4: "go", 5: "java"}
 _TITLE = (
@@ -251,9 +256,9 @@ def _head(n: int, marker: str) -> str:
 ORACLES: dict[str, str] = {
     "q_extract_body": f"""
         WITH w AS (SELECT doc_id, string_split('---' || chr(10) || 'description: ' || lang || chr(10) || '---' || chr(10) || '# ' || source || chr(10) || chr(10) || text, chr(10)) AS l FROM documents),
-        p AS (SELECT doc_id, l, coalesce(list_position(list_transform(l[2:], lambda x: {_STRIP.format("x")}), '---'), 0) AS k FROM w),
-        c AS (SELECT doc_id, {_STRIP.format("array_to_string(l[k + 2:], chr(10))")} AS b FROM p)
-        SELECT doc_id, CASE WHEN b[1] = '#' THEN {_STRIP.format("array_to_string(string_split(b, chr(10))[2:], chr(10))")} ELSE b END AS body FROM c""",
+        p AS (SELECT doc_id, l, coalesce(list_position(list_transform(l[2:], lambda x: {_strip("x")}), '---'), 0) AS k FROM w),
+        c AS (SELECT doc_id, {_strip("array_to_string(l[k + 2:], chr(10))")} AS b FROM p)
+        SELECT doc_id, CASE WHEN b[1] = '#' THEN {_strip("array_to_string(string_split(b, chr(10))[2:], chr(10))")} ELSE b END AS body FROM c""",
     "q_keyword_scan": "SELECT doc_id, array_to_string(list_filter(" + str(KEYWORDS) + ", lambda k: contains(lower(text), k)), ',') AS hits FROM documents",
     "q_detect_priority": f"""
         SELECT user_id || '-' || (event_id % 97) AS folder, CASE min({_MARK}) {" ".join(f"WHEN {p} THEN '{v}'" for p, v in _LANGS.items())} END AS language

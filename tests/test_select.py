@@ -46,7 +46,7 @@ def test_dimensions(spark):
     assert names(spark, catalog.available_frameworks(F.lit("ruby"))) == ["rails"]
     assert names(spark, catalog.available_frameworks(F.lit("cobol"))) == []
     assert [r.language for r in catalog.primary_languages(spark).orderBy("pos").collect()] == catalog.PRIMARY
-    assert catalog.markers(spark).count() == 14 and catalog.providers(spark).count() == 3 and catalog.tools(spark).count() == 6
+    assert catalog.markers(spark).count() == 13 and catalog.providers(spark).count() == 3 and catalog.tools(spark).count() == 6
     assert catalog.package_dirs(spark).count() == 5 and catalog.npm_frameworks(spark).count() == 7 and catalog.universal_rules(spark).count() == 4
 
 
