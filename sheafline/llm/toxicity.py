@@ -2,7 +2,7 @@
 
 Words and word beginnings that go with toxic labels become voters, others that go with
 clean ones speak against. A generative label model estimates each voter's accuracy from
-how the votes agree, with votes that are correlated within a class discounted, and
+how the votes agree, with voters that correlate within a class taken as one, and
 gives every sampled document a posterior. A linear classifier learns the posteriors
 from lexicon and pattern features and scores every document.
 """
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, remainder, text_batches
+from .common import Workspace, min_labels, remainder, text_batches
 
 #: Labelled rows that are learnt from at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
@@ -98,51 +98,78 @@ def cover(rows: list[set[int]], candidates: list[int], most: int, least: int = 2
 
 @dataclass
 class LabelModel:
-    """P(vote | class) per voter, and weights that discount correlated voters."""
+    """P(vote | class) for groups of voters; a group votes if any of its voters does."""
 
     prior: float
-    fires: np.ndarray  # 2 x voters
-    weight: np.ndarray
+    fires: np.ndarray  # 2 x groups
+    groups: np.ndarray  # of each voter
+
+    def collapsed(self, votes: np.ndarray) -> np.ndarray:
+        return collapse(votes, self.groups)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.fires), np.log1p(-self.fires)
-        gain = (on[1] - on[0] - off[1] + off[0]) * self.weight
-        base = ((off[1] - off[0]) * self.weight).sum()
-        z = votes @ gain + base + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return given(self.collapsed(votes), self.fires, self.prior)
+
+
+def collapse(votes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(votes), int(groups.max()) + 1))
+    for j, g in enumerate(groups):
+        np.maximum(out[:, g], votes[:, j], out=out[:, g])
+    return out
+
 
+def given(votes: np.ndarray, fires: np.ndarray, prior: float) -> np.ndarray:
+    on, off = np.log(fires), np.log1p(-fires)
+    z = votes @ (on[1] - on[0] - off[1] + off[0]) + (off[1] - off[0]).sum() + np.log(prior / (1 - prior))
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-def fit_label_model(votes: np.ndarray, side: np.ndarray, prior: float, rounds: int = 3, steps: int = 25) -> LabelModel:
-    """Expectation maximisation over unlabelled votes (documents x voters, 0 or 1).
+
+def correlations(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Largest correlation of each pair of voters within a class."""
+    out = np.zeros((votes.shape[1], votes.shape[1]))
+    for share in (q, 1 - q):
+        total = max(share.sum(), 1e-9)
+        mean = share @ votes / total
+        cov = (votes * share[:, None]).T @ votes / total - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        out = np.maximum(out, np.where((total > 30) & (np.outer(sd, sd) > 1e-6), cov / np.outer(sd, sd), 0))
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def fit_label_model(votes: np.ndarray, side: np.ndarray, prior: float, clean: np.ndarray | None = None, together: float = 0.5, rounds: int = 3, steps: int = 25) -> LabelModel:
+    """Expectation maximisation over votes (documents x voters, 0 or 1).
 
     ``side`` is 1 for voters for the class and 0 for those against; it and the prior only say
-    where to begin. After each round the voters' correlations within the classes are
-    estimated, and a voter's weight becomes one over the number of voters it amounts to.
+    where to begin. ``clean``, if given, marks documents known not to be in the class: the
+    rates at which voters for it fire on them are held firmly. After each round voters
+    whose votes correlate within a class beyond ``together`` become one group, which votes if
+    any of them does, so that they aren't counted as many.
     """
     n, m = votes.shape
-    balance = votes @ (2.0 * side - 1)
-    q = np.where(balance > 0, 0.9, prior / 4)
-    weight = np.ones(m)
-    model = None
+    groups = np.arange(m)
+    q = np.where(votes @ (2.0 * side - 1) > 0, 0.95, prior / 4)
     for _ in range(rounds):
+        v = collapse(votes, groups)
+        ours = collapse(side[None, :], groups)[0] == 1
+        quiet = None if clean is None else (v[clean].sum(axis=0) + 0.05) / (clean.sum() + 1)
         for _ in range(steps):
             mass = np.array([(1 - q).sum(), q.sum()])
-            fires = np.stack([(1 - q) @ votes, q @ votes])
-            fires = (fires + 0.05) / (mass[:, None] + 1)
+            fires = (np.stack([(1 - q) @ v, q @ v]) + 0.05) / (mass[:, None] + 1)
+            if quiet is not None:
+                fires[0] = np.where(ours, quiet, fires[0])
             # a voter never turns against its side
             lo, hi = np.minimum(fires[0], fires[1]), np.maximum(fires[0], fires[1])
-            fires = np.where(side[None, :] == 1, np.stack([lo, hi]), np.stack([hi, lo]))
-            model = LabelModel(float(np.clip(mass[1] / n, 1e-4, 0.5)), np.clip(fires, 1e-6, 1 - 1e-6), weight)
-            q = model.posterior(votes)
-        together = np.zeros((m, m))
-        for share, row in ((q, 1), (1 - q, 0)):
-            total = max(share.sum(), 1e-9)
-            mean = share @ votes / total
-            cov = (votes * share[:, None]).T @ votes / total - np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            together = np.maximum(together, cov / np.outer(sd, sd) * (total > 30))
-        np.fill_diagonal(together, 0)
-        weight = 1 / (1 + np.where(together > 0.2, together, 0).sum(axis=1))
+            fires = np.clip(np.where(ours, np.stack([lo, hi]), np.stack([hi, lo])), 1e-6, 1 - 1e-6)
+            share = float(np.clip(mass[1] / n, 1e-4, 0.5))
+            q = given(v, fires, share)
+        model = LabelModel(share, fires, groups)
+        linked = (correlations(votes, q) > together) & (side[:, None] == side[None, :])
+        label = np.array(min_labels(linked))
+        new = np.unique(label, return_inverse=True)[1]
+        if (new == groups).all():
+            break
+        groups = new
     return model
 
 
@@ -235,7 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     for i, r in enumerate(rows):
         v = spot[r]
         votes[i, v[v >= 0]] = 1
-    model = fit_label_model(votes, side, n_pos / (n_pos + n_neg))
+    model = fit_label_model(votes, side, n_pos / (n_pos + n_neg), y == 0)
     weights, bias = fit_linear(rows, model.posterior(votes), len(names))
     return Classifier(names, weights, bias)
 
