@@ -2,7 +2,7 @@
 
 Pre-tokens are exploded with their positions by block: a block's documents become
 positions into the block's own list of distinct pre-tokens. Only that list is
-shuffled, by word, so a word has at most one row per block however common it is.
+shuffled, by word and packed, so a word moves at most once per block however common it is.
 Each distinct word is encoded once, its ids go back to the blocks that hold it, and
 every document is put together again by position. Blocks are written bucketed, so
 the documents themselves stay where they are.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,21 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-def blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
+def pack_ragged(places: np.ndarray, lengths: np.ndarray, data: bytes) -> bytes:
+    """Places, the length of the bytes at each, and the bytes, compressed together."""
+    head = np.r_[len(places), len(lengths), places, lengths].astype("<u4").tobytes()
+    return zstandard.compress(head + data, 3)
+
+
+def unpack_ragged(packed: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    raw = zstandard.decompress(packed)
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    head = np.frombuffer(raw, "<u4", n + m, 8)
+    return head[:n], head[n:], raw[8 + 4 * (n + m) :]
+
+
+def blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """A row per block: its documents as places in its list of distinct pre-tokens, and that list by bucket of word."""
     def run(batches):
         from pyspark import TaskContext
 
@@ -67,21 +82,27 @@ def blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
             common = np.argsort(-np.bincount(flat, minlength=len(pieces.words)), kind="stable")
             place = np.empty(len(common), np.uint32)
             place[common] = np.arange(len(common))
+            dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(buckets)]
+            for at, word in zip(place.tolist(), (w.encode() for w in pieces.words)):
+                where = dealt[zlib.crc32(word) % buckets]
+                where[0].append(at)
+                where[1].append(word)
+            packed = [pack_ragged(np.array(p), np.array(list(map(len, w))), b"".join(w)) if p else None for p, w in dealt]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part + k], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([pack(np.array([len(x) for x in found], np.uint32))], pa.binary()),
                     pa.array([pack(place[flat])], pa.binary()),
-                    pa.array([[pieces.words[i] for i in common]], pa.list_(pa.string())),
+                    pa.array([packed], pa.list_(pa.binary())),
                 ],
                 ["block", "doc_ids", "lengths", "places", "words"],
             )
 
-    return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, places binary, words array<string>")
+    return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, places binary, words array<binary>")
 
 
-def encode(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, ids (array<int>) for every row; a null or empty text has no ids.
 
     Rows that repeat an id each get a row of their own.
@@ -89,46 +110,55 @@ def encode(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str
     docs = docs.selectExpr(f"CAST({id_col} AS BIGINT) AS doc_id", f"{text_col} AS text")
     spark = docs.sparkSession
     n = partitions(spark)
-    held = ws.write_bucketed(blocks(docs, pattern, block_bytes), "blocks", "block", n)
+    held = ws.write_bucketed(blocks(docs, pattern, block_bytes, 8 * n), "blocks", "block", n)
 
     def encoded(batches):
         import tiktoken
 
         one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
-        last, ids = None, b""
+        last, known = None, {}
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(one(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "place", "ids"])
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != last:  # all rows of a word are in one bucket
+                    last, known = bucket, {}
+                _, lengths, data = unpack_ragged(packed)
+                found, at = [], 0
+                for size in lengths.tolist():
+                    word = data[at : at + size]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(one(word.decode()), "<u4").tobytes()
+                    found.append(ids)
+                    at += size
+                out.append(pack_ragged(np.array(list(map(len, found))), np.zeros(0, int), b"".join(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
     # posexplode_outer: for posexplode the optimizer adds a filter that reads the lists twice
-    words = held.select("block", F.posexplode_outer("words").alias("place", "word")).where("word IS NOT NULL")
-    words = words.repartition(n, "word").sortWithinPartitions("word")
-    back = words.mapInArrow(encoded, "block long, place int, ids binary")
+    words = held.select("block", F.posexplode_outer("words").alias("bucket", "packed")).where("packed IS NOT NULL")
+    words = words.select("block", "bucket", "packed").repartition(n, "bucket").sortWithinPartitions("bucket")
+    back = words.mapInArrow(encoded, "block long, bucket int, ids binary")
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc_ids = left.column("doc_ids").to_pylist()[0] if left.num_rows else []
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        doc_ids = left.column("doc_ids").to_pylist()[0]
         lengths = unpack(left.column("lengths")[0].as_py()).astype(np.int64)
         places = unpack(left.column("places")[0].as_py())
-        order = np.argsort(right.column("place").to_numpy())
-        column = right.column("ids").combine_chunks().take(pa.array(order)) if right.num_rows else pa.array([], pa.binary())
-        offset = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1 + column.offset)[column.offset :] if len(column) else np.zeros(1, np.int32)
-        flat = np.frombuffer(column.buffers()[2], "<u4", int(offset[-1]) // 4) if len(column) and offset[-1] else np.zeros(0, "<u4")
-        size = np.diff(offset) // 4
-        start = offset[:-1] // 4
-        n_ids = size[places].astype(np.int64)
-        ids = ragged(flat, start[places].astype(np.int64), n_ids) if len(places) else np.zeros(0, "<u4")
-        upto = np.r_[0, np.cumsum(n_ids)]
-        ends = upto[np.cumsum(lengths)]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+        own = left.column("words").to_pylist()[0]
+        parts = [unpack_ragged(x) for x in right.column("ids").to_pylist()]
+        flat = np.frombuffer(b"".join(x[2] for x in parts), "<u4")
+        where = np.concatenate([unpack_ragged(own[b])[0] for b in right.column("bucket").to_pylist()]) if parts else np.zeros(0, np.int64)
+        sizes = np.concatenate([x[0] for x in parts]).astype(np.int64) // 4 if parts else np.zeros(0, np.int64)
+        size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        size[where], start[where] = sizes, np.cumsum(sizes) - sizes
+        n_ids = size[places]
+        ids = ragged(flat, start[places], n_ids)
+        ends = np.r_[0, np.cumsum(n_ids)][np.cumsum(lengths)]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.view("<i4")))
         return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), lists], ["doc_id", "ids"])
 
-    left = held.select("block", "doc_ids", "lengths", "places")
+    left = held.select("block", "doc_ids", "lengths", "places", "words")
     return left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
 
 

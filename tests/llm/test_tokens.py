@@ -74,7 +74,7 @@ def test_token_files(spark, request, which):
 
 def test_files_are_read_selectively(spark, docs):
     out = Workspace(spark, "t").path
-    token_files.write_tokens(docs, out, WORD, 1, row_group_bytes=64 << 10, page_bytes=8 << 10)
+    token_files.write_tokens(docs, out, WORD, 1, files=1, row_group_bytes=64 << 10, page_bytes=8 << 10)
     paths = [f for f in token_files.read_tokens(spark, out, ()).inputFiles() if "/tokens/" in f]
     meta = pq.ParquetFile(paths[0].removeprefix("file://")).metadata
     column = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
