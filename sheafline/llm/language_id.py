@@ -81,6 +81,24 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, sizes: np.ndarray) -> n
     return ahead
 
 
+class Known(dict):
+    """word -> place among the words met that have a letter, -1 for others; ``new`` has those not yet scored."""
+
+    def __init__(self):
+        super().__init__()
+        self.count = 0
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        if LETTER.search(word):
+            self[word] = n = self.count
+            self.count += 1
+            self.new.append(word)
+            return n
+        self[word] = -1
+        return -1
+
+
 @dataclass
 class Field:
     """Languages, feature weights, transitions (logs) and lexicon."""
@@ -194,21 +212,18 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
 
     def run(batches):
         model = shared.value
-        known: dict[str, int] = {}
-        emit = np.zeros((0, len(model.languages) if model else 0), np.float32)
+        known, emit = Known(), None
         for ids, whole in text_batches(batches, 4 << 20):
             lang, score = ["und"] * len(ids), np.zeros(len(ids))
             if model:
-                if len(known) > REMEMBERED:
-                    known, emit = {}, emit[:0]
-                had, new, seqs = len(known), [], []
+                if emit is None or len(known) > REMEMBERED:
+                    known, emit = Known(), np.zeros((0, len(model.languages)), np.float32)
+                seqs = []
                 for t in whole:
-                    ws = words_of(t)
-                    for w in ws:
-                        if w not in known:
-                            known[w] = len(known)
-                            new.append(w)
-                    seqs.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
+                    ws = t.lower().split()
+                    s = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+                    seqs.append(s[s >= 0])
+                new, known.new = known.new, []
                 if new:
                     fresh = np.empty((len(new), len(model.languages)), np.float32)
                     for lo in range(0, len(new), 20000):
@@ -216,7 +231,6 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
                         size = np.array([len(f) for f in feats])
                         fresh[lo : lo + 20000] = np.add.reduceat(model.weights[np.concatenate(feats)], np.cumsum(size) - size)
                     emit = np.concatenate([emit, fresh])
-                    assert len(emit) == had + len(new)
                 sizes = np.array([len(s) for s in seqs])
                 order = np.argsort(-sizes, kind="stable")
                 order = order[sizes[order] > 0]
