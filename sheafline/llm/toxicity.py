@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +29,33 @@ SUPPORT = 5  # documents that a feature needs
 PURE = 30  # times as common in toxic documents as in others, for a voter
 PREFIXES = (3, 4, 5, 6)
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+STRETCHED = regex.compile(r"(\p{L})\1\1")
 REMEMBERED = 400_000
 
 
-def word_features(word: str) -> list[str]:
-    """Of a word without punctuation at its ends: itself, and its beginnings."""
-    word = EDGES.sub("", word)
-    return [] if not word else ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
-
-
-def pattern_features(text: str) -> list[str]:
-    """Of the whole text: shouting, exclamation, insistence."""
-    out = []
-    if "!" in text:
+def word_features(raw: str) -> tuple[str, ...]:
+    """Of a word as it stands: itself and its beginnings, without case or punctuation at its ends, and how it is written."""
+    word = EDGES.sub("", raw.lower())
+    if not word:
+        return ("#exclaims",) if "!" in raw else ()
+    out = ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+    if "!" in raw:
         out.append("#exclaims")
-    if regex.search(r"\b\p{Lu}{4,}\b", text):
+    if len(word) >= 4 and raw.isupper():
         out.append("#shouts")
-    if regex.search(r"(\p{L})\1\1", text):
+    if STRETCHED.search(word):
         out.append("#stretches")
-    return out
+    return tuple(out)
+
+
+class Names(dict):
+    """word -> its features, remembered."""
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[raw] = word_features(raw)
+        return found
 
 
 class Features(dict):
@@ -56,18 +65,14 @@ class Features(dict):
         super().__init__()
         self.at = {f: i for i, f in enumerate(names)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self[word] = tuple(i for i in map(self.at.get, word_features(word)) if i is not None)
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        found = self[raw] = tuple(i for i in map(self.at.get, word_features(raw)) if i is not None)
         return found
 
     def of(self, text: str) -> list[int]:
         if len(self) > REMEMBERED:
             self.clear()
-        found: set[int] = set()
-        for word in set(text.lower().split()):
-            found.update(self[word])
-        found.update(i for i in map(self.at.get, pattern_features(text)) if i is not None)
-        return sorted(found)
+        return sorted(set(chain.from_iterable(map(self.__getitem__, set(text.split())))))
 
 
 def cover(rows: list[set[int]], candidates: list[int], most: int, least: int = 2) -> list[int]:
@@ -211,20 +216,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def count(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         rows = Counter()
+        names = Names()
 
         def out():
-            names = list(seen[0].keys() | seen[1].keys())
-            names.append("")
-            cols = [[seen[y][f] for f in names[:-1]] + [rows[y]] for y in (1, 0)]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["f", "pos", "neg"])
+            listed = list(seen[0].keys() | seen[1].keys())
+            listed.append("")
+            cols = [[seen[y][f] for f in listed[:-1]] + [rows[y]] for y in (1, 0)]
+            return pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["f", "pos", "neg"])
 
         for ys, whole in text_batches(batches):
             for y, text in zip(ys, whole):
                 rows[y] += 1
-                found = set(pattern_features(text))
-                for word in set(text.lower().split()):
-                    found.update(word_features(word))
-                seen[y].update(found)
+                seen[y].update(set(chain.from_iterable(map(names.__getitem__, set(text.split())))))
             if len(seen[0]) + len(seen[1]) > 600_000:
                 yield out()
                 seen, rows = {0: Counter(), 1: Counter()}, Counter()
