@@ -213,7 +213,7 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     def run(batches):
         model = shared.value
         known, emit = Known(), None
-        for ids, whole in text_batches(batches, 4 << 20):
+        for ids, whole in text_batches(batches, 12 << 20):
             lang, score = ["und"] * len(ids), np.zeros(len(ids))
             if model:
                 if emit is None or len(known) > REMEMBERED:
