@@ -24,7 +24,7 @@ from .token_counts import byte_symbols
 
 ROW = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 #: Chunks remembered by a worker before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 #: Letters that the library's tables and Python's surely class and lower alike.
 SURE = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
