@@ -25,7 +25,7 @@ MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB
 #: Words a worker remembers the hashes of.
 REMEMBERED = 500_000
 #: Sets compared as one block, and the largest node that isn't split again.
-BLOCK, NODE = 256, 192
+BLOCK, NODE = 256, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ _COEFFICIENTS: dict = {}
 
 def near_documents(
     docs: DataFrame, ws: Workspace, threshold: float = 0.8, shingle: int = 5, miss: float = 1e-3, sketch: int = 64,
-    depth: int = 2, deepest: int = 7, seed: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    depth: int = 2, deepest: int = 5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, class_id, n_links, class_size, kept for every row.
 
