@@ -190,14 +190,20 @@ def near_documents(
     spots = "rep long, node long"
     level = ws.write(reps.select("rep", "sketch").mapInArrow(roots, spots).distinct(), "level-0")
     small: list[DataFrame] = []
+    crowded = None
     for k in range(depth, deepest + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep") % 1000000007).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x")).where("n > 1")
         # nodes with the same members need one comparison
         counts = ws.write(counts.groupBy("n", "s", "x").agg(F.min("node").alias("node")), f"nodes-{k}")
-        last = k == deepest
-        small.append(level.join(counts if last else counts.where(F.col("n") <= NODE), "node").select("rep", "node", "n"))
+        small.append(level.join(counts.where(F.col("n") <= NODE), "node").select("rep", "node"))
         large = counts.where(F.col("n") > NODE)
-        if last or large.isEmpty():
+        if large.isEmpty():
+            break
+        if k == deepest:
+            # what stays together so long is gathered whole; its pairs are decided by their sets
+            kept = level.join(large, "node").select("node", F.col("rep").alias("a"))
+            firsts = kept.groupBy("node").agg(F.min("a").alias("b"))
+            crowded = ws.write(kept.join(firsts, "node").where("a <> b").select("a", "b").distinct(), "crowded")
             break
         again = level.join(large, "node").select("rep", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "node", "sketch")
         level = ws.write(again.mapInArrow(deeper, spots).distinct(), f"level-{k}")
@@ -211,11 +217,10 @@ def near_documents(
         dealt = df.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", size)
 
-    pairs = in_blocks(members, "node", "n").join(reps.select("rep", "sketch"), "rep")
-    pairs = pairs.select("node", "i", "j", "mine", "rep", "sketch").repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j")
+    pairs = members.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch").repartition(n, "node").sortWithinPartitions("node")
 
     def sketch_links(batches):
-        for (_, i, j), group in sorted_groups(batches, 3):
+        for _, group in sorted_groups(batches, 1):
             rep = group.column("rep").to_numpy()
             s = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(len(rep), sketch)
             same = np.zeros((len(rep), len(rep)), np.int16)
@@ -223,16 +228,14 @@ def near_documents(
                 same += s[:, c][:, None] == s[:, c][None, :]
             near = same >= agree
             np.fill_diagonal(near, False)
-            if i != j:
-                mine = group.column("mine").to_numpy()
-                near &= mine[:, None] != mine[None, :]
             touched = near.any(axis=1)
             if touched.any():
                 least = least_of(np.array(min_labels(near)), rep)
                 keep = touched & (least != rep)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(least[keep])], ["a", "b"])
 
-    linked = ws.write(pairs.mapInArrow(sketch_links, "a long, b long").distinct(), "linked")
+    found = pairs.mapInArrow(sketch_links, "a long, b long")
+    linked = ws.write((found if crowded is None else found.union(crowded)).distinct(), "linked")
     maybe = components(ws, linked, "maybe")
     sizes = maybe.groupBy("component").agg(F.count("*").alias("n"))
     chosen = ws.write(maybe.join(sizes, "component").withColumnRenamed("id", "rep").join(classes.select("rep", "copies"), "rep"), "chosen")
