@@ -190,22 +190,26 @@ def near_documents(
     spots = "rep long, node long"
     level = ws.write(reps.select("rep", "sketch").mapInArrow(roots, spots).distinct(), "level-0")
     small: list[DataFrame] = []
-    crowded = None
+    crowded: list[DataFrame] = []
     for k in range(depth, deepest + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep") % 1000000007).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x")).where("n > 1")
-        # nodes with the same members need one comparison
-        counts = ws.write(counts.groupBy("n", "s", "x").agg(F.min("node").alias("node")), f"nodes-{k}")
-        small.append(level.join(counts.where(F.col("n") <= NODE), "node").select("rep", "node"))
-        large = counts.where(F.col("n") > NODE)
+        counts = ws.write(counts, f"nodes-{k}")
+        # nodes with the same members need one comparison, or one gathering
+        merged = ws.write(counts.groupBy("n", "s", "x").agg(F.min("node").alias("node"), F.count("*").alias("times")), f"merged-{k}")
+        small.append(level.join(merged.where(F.col("n") <= NODE), "node").select("rep", "node"))
+        large = merged.where(F.col("n") > NODE)
         if large.isEmpty():
             break
+        # what stays together to the last depth, or in so many nodes that its sketches mostly agree, is gathered whole; its pairs are decided by their sets
+        whole = large if k == deepest else large.where(F.col("times") >= runs / 2)
+        kept = level.join(whole, "node").select("node", F.col("rep").alias("a"))
+        firsts = kept.groupBy("node").agg(F.min("a").alias("b"))
+        crowded.append(ws.write(kept.join(firsts, "node").where("a <> b").select("a", "b").distinct(), f"crowded-{k}"))
         if k == deepest:
-            # what stays together so long is gathered whole; its pairs are decided by their sets
-            kept = level.join(large, "node").select("node", F.col("rep").alias("a"))
-            firsts = kept.groupBy("node").agg(F.min("a").alias("b"))
-            crowded = ws.write(kept.join(firsts, "node").where("a <> b").select("a", "b").distinct(), "crowded")
             break
-        again = level.join(large, "node").select("rep", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "node", "sketch")
+        # each of the others is split: nodes with the same members pick other coordinates, and a set needs all its paths
+        split = counts.where(F.col("n") > NODE).join(whole.select("n", "s", "x"), ["n", "s", "x"], "left_anti").select("node")
+        again = level.join(split, "node").select("rep", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "node", "sketch")
         level = ws.write(again.mapInArrow(deeper, spots).distinct(), f"level-{k}")
     members = small[0]
     for more in small[1:]:
@@ -235,7 +239,9 @@ def near_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(least[keep])], ["a", "b"])
 
     found = pairs.mapInArrow(sketch_links, "a long, b long")
-    linked = ws.write((found if crowded is None else found.union(crowded)).distinct(), "linked")
+    for more in crowded:
+        found = found.union(more)
+    linked = ws.write(found.distinct(), "linked")
     maybe = components(ws, linked, "maybe")
     sizes = maybe.groupBy("component").agg(F.count("*").alias("n"))
     chosen = ws.write(maybe.join(sizes, "component").withColumnRenamed("id", "rep").join(classes.select("rep", "copies"), "rep"), "chosen")

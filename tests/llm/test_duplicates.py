@@ -116,6 +116,16 @@ def test_crowded_groups_lose_no_link(spark, monkeypatch):
     assert sorted(repr((r.doc_id, r.class_id, r.n_links)) for r in got) == brute(rows)
 
 
+def test_crowds_of_equal_sketches_lose_no_link(spark, monkeypatch):
+    """Long texts that differ in their last word: the nodes of a crowd have the same members."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    monkeypatch.setattr(ngram_join, "NODE", 24)
+    groups, size = 12, 40
+    rows = [(g * size + i, " ".join([*(f"g{g}w{k}" for k in range(1500)), f"id{i}"])) for g in range(groups) for i in range(size)]
+    got = ngram_join.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(i, i // size * size, size - 1) for i in range(groups * size)]
+
+
 def test_one_of_each(spark, docs):
     got = ngram_join.one_of_each(docs, Workspace(spark, "t"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
