@@ -143,7 +143,8 @@ def near_documents(
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = math.ceil(math.log(miss) / math.log(1 - survival(depth)))
+    # enough for a pair whose common nodes are crowded down to the last depth
+    runs = math.ceil(math.log(miss) / math.log(1 - survival(deepest)))
     chance = 1 / (threshold * sketch)
     # sketches of a pair at the threshold agree this often, but for a chance well below ``miss``
     agree = math.floor(sketch * threshold - 4 * math.sqrt(sketch * threshold * (1 - threshold)))

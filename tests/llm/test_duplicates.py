@@ -126,6 +126,16 @@ def test_crowds_of_equal_sketches_lose_no_link(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(i, i // size * size, size - 1) for i in range(groups * size)]
 
 
+def test_pairs_at_the_threshold_in_crowded_nodes(spark, monkeypatch):
+    """With every node crowded, pairs of exactly 0.8 have to follow common paths to the last depth."""
+    monkeypatch.setattr(ngram_join, "NODE", 1)
+    pairs = 2000
+    # 80 common 5-grams of 100: 84 common words, 10 of each one's own
+    rows = [(2 * p + k, " ".join([*(f"p{p}w{j}" for j in range(84)), *(f"p{p}x{k}y{j}" for j in range(10))])) for p in range(pairs) for k in (0, 1)]
+    got = ngram_join.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    assert sum(r.n_links == 0 for r in got) / 2 <= 0.002 * pairs
+
+
 def test_one_of_each(spark, docs):
     got = ngram_join.one_of_each(docs, Workspace(spark, "t"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
