@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, text_batches
 
-#: Learnt from, for each language: rows about, and words of each row at most.
+#: Learnt from, for each language: rows about, and words of each row at most, from all over its text.
 ROWS, WORDS = 500, 120
 BITS = 18  # hashed features
 LEXICON = 300  # most common words of each language
@@ -36,6 +36,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.lower().split() if LETTER.search(w)]
 
 
+def spread(words: list[str], key: int | None) -> list[str]:
+    """All of the words, or ``WORDS`` of them at most: windows chosen by a hash of the key and their position, in order."""
+    if len(words) <= WORDS:
+        return words
+    windows = sorted(range(-(-len(words) // SPLICE)), key=lambda k: zlib.crc32(f"{key} {k}".encode()))[: WORDS // SPLICE]
+    return [w for k in sorted(windows) for w in words[k * SPLICE : (k + 1) * SPLICE]]
+
+
 def features(word: str, lexicon: dict[str, list[str]]) -> np.ndarray:
     """Hashed affixes, n-grams and lexicon entries of a word."""
     w = EDGES.sub("", word)
@@ -111,7 +119,7 @@ class Field:
 
 def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.2, seed: int = 7) -> Field | None:
     """From (language, text) rows; the result depends on their order and the seed alone."""
-    rows = [(lang, w[:WORDS]) for lang, w in ((lang, words_of(text)) for lang, text in rows) if w]
+    rows = [(lang, w) for lang, w in ((lang, words_of(text)) for lang, text in rows) if w]
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
@@ -187,7 +195,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.2, seed:
 
 
 def learn(docs: DataFrame, per_language: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field | None:
-    """A field from at most about ``per_language`` rows of each language, those with the smallest hashes of their id."""
+    """A field from at most about ``per_language`` rows of each language, those with the smallest hashes of their id.
+
+    Of a long row, ``WORDS`` words come from windows all over its text.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -195,9 +206,13 @@ def learn(docs: DataFrame, per_language: int = ROWS, id_col: str = "doc_id", tex
     share = F.create_map(*[F.lit(x) for lang, k in sizes.items() for x in (lang, min(1.0, per_language / k))])
     point = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
     picked = rows.where(point < F.element_at(share, F.col("lang")))
-    # of a long row only what is learnt from need come
-    start = F.array_join(F.slice(F.split(F.substring("text", 1, 4 * 1024), r"\s+"), 1, WORDS), " ")
-    got = picked.select("_id", "lang", start.alias("text")).limit(2 * per_language * len(sizes)).collect()
+
+    def shortened(batches):
+        for batch in batches:
+            some = [" ".join(spread(words_of(t), i)) for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.string())], ["_id", "lang", "text"])
+
+    got = picked.select("_id", "lang", "text").mapInArrow(shortened, "_id long, lang string, text string").limit(2 * per_language * len(sizes)).collect()
     return train([(r.lang, r.text) for r in sorted(got, key=lambda r: (r._id is None, r._id, r.lang, r.text))])
 
 

@@ -82,6 +82,16 @@ def test_words_switch_languages():
     assert got.tolist() == [0] * 6 + [1] * 6 and np.trace(field.move) > field.move.sum() - np.trace(field.move)
 
 
+def test_language_is_learnt_from_whole_texts(spark):
+    """All texts open with one long passage; what tells them apart comes after it."""
+    opening = " ".join(f"li{k % 50}cense" for k in range(700))
+    rows = [(i, f"{opening} " + " ".join(f"{'zu' if i % 2 else 'ka'}{k % 9}ro" for k in range(1400)), "ab"[i % 2]) for i in range(40)]
+    field = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = spark.createDataFrame([(1, "ka1ro ka2ro ka3ro"), (2, "zu1ro zu2ro zu3ro")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(own, field).collect()} == {1: "a", 2: "b"}
+    assert "ka1ro" in field.lexicon and "zu1ro" in field.lexicon
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     sizes, labels = np.array([4, 2, 1]), 3
