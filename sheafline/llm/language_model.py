@@ -15,11 +15,13 @@ most once per block. Everything is counted over all text that is learnt from.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from .common import Workspace, partitions, sorted_groups, text_batches
 
 #: Common tokens that are symbols of their own, and classes of the others.
 COMMON, CLASSES = 1500, 500
-#: Symbols of the longest context.
-ORDER = 3
+#: Symbols of the longest context, and how often a context is seen at least.
+ORDER, LEAST = 3, 10
 END = 0  # the symbol of a text's end, which also stands before a text
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -267,60 +269,129 @@ def locate(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
-def learn_tree(ws: Workspace, held: DataFrame, tree: SuffixTree, common: dict[bytes, int], total: int, rarest: float, folds: int, n: int) -> None:
-    """Add the tree's levels: at each, all learnt text is counted in the contexts that are frequent enough.
+def first_level(ws: Workspace, held: DataFrame, tree: SuffixTree, common: dict[bytes, int], size: np.ndarray, least: int, folds: int, n: int) -> None:
+    """Add the contexts of one symbol: all learnt text is counted in those seen ``least`` times.
 
-    There are at most 1 / ``rarest`` of them at each depth, and each has as many next symbols
-    as there are symbols, so what reaches the driver has a bound that doesn't grow with the text.
+    There are at most as many of them as symbols, each with as many next symbols at most.
     """
     spark = held.sparkSession
-    needed = rarest * total
-    keys = np.flatnonzero(tree.root * total >= needed).astype(np.int64)
-    for depth in range(1, ORDER + 1):
-        if not len(keys):
-            return
-        wanted = spark.sparkContext.broadcast((keys, common))
-
-        def count(batches, depth=depth, wanted=wanted):
-            table, names = wanted.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    places, words = block_words(row)
-                    lengths = unpack(row["lengths"]).astype(np.int64)
-                    seq, at = sequence(symbols_of(words, names)[places] if words else places, lengths)
-                    learn = np.array([not held_out(i, folds) for i in row["doc_ids"]])
-                    at = at[np.repeat(learn, lengths + 1)]
-                    context, hit = locate(table, context_keys(seq, at, depth))
-                    found, times = np.unique(context[hit] * SYMBOLS + seq[at[hit]], return_counts=True)
-                    part = found // SYMBOLS % (4 * n)
-                    order = np.argsort(part, kind="stable")
-                    found, times, part = found[order], times[order], part[order]
-                    for p in np.unique(part):
-                        lo, hi = np.searchsorted(part, [p, p + 1])
-                        gaps = np.diff(np.r_[0, found[lo:hi]])
-                        yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([pack(gaps)]), pa.array([pack(times[lo:hi])])], ["part", "gaps", "times"])
-
-        def total_up(batches):
-            for _, group in sorted_groups(batches, 1):
-                found = np.concatenate([np.cumsum(unpack(g).astype(np.int64)) for g in group.column("gaps").to_pylist()])
-                times = np.concatenate([unpack(t).astype(np.int64) for t in group.column("times").to_pylist()])
-                entry, at = np.unique(found, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(np.bincount(at, times).astype(np.int64))], ["entry", "n"])
-
-        rows = held.select("doc_ids", "lengths", "places", "words").mapInArrow(count, "part int, gaps binary, times binary")
-        counted = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(total_up, "entry long, n long")
-        got = ws.write(counted, f"level-{depth}").toArrow()
-        entry, times = got.column("entry").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(entry)
-        entry, times = entry[order], times[order]
-        context, symbol = entry // SYMBOLS, entry % SYMBOLS
-        tree.add(keys, context, symbol, times)
-        longer = keys[context] * SYMBOLS + symbol
-        keys = np.sort(longer[times >= needed])
-        wanted.unpersist()
+    keys = np.flatnonzero(size >= least).astype(np.int64)
+    wanted = spark.sparkContext.broadcast((keys, common))
+
+    def count(batches):
+        table, names = wanted.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                seq, at, learn = block_sequence(row, names, folds)
+                context, hit = locate(table, context_keys(seq, at[learn], 1))
+                found, times = np.unique(context[hit] * SYMBOLS + seq[at[learn][hit]], return_counts=True)
+                part = found // SYMBOLS % (4 * n)
+                order = np.argsort(part, kind="stable")
+                found, times, part = found[order], times[order], part[order]
+                for p in np.unique(part):
+                    lo, hi = np.searchsorted(part, [p, p + 1])
+                    gaps = np.diff(np.r_[0, found[lo:hi]])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([pack(gaps)]), pa.array([pack(times[lo:hi])])], ["part", "gaps", "times"])
+
+    def total_up(batches):
+        for _, group in sorted_groups(batches, 1):
+            found = np.concatenate([np.cumsum(unpack(g).astype(np.int64)) for g in group.column("gaps").to_pylist()])
+            times = np.concatenate([unpack(t).astype(np.int64) for t in group.column("times").to_pylist()])
+            entry, at = np.unique(found, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(np.bincount(at, times).astype(np.int64))], ["entry", "n"])
+
+    rows = held.select("doc_ids", "lengths", "places", "words").mapInArrow(count, "part int, gaps binary, times binary")
+    counted = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(total_up, "entry long, n long")
+    got = ws.write(counted, "level-1").toArrow()
+    entry, times = got.column("entry").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(entry)
+    tree.add(keys, entry[order] // SYMBOLS, entry[order] % SYMBOLS, times[order])
+
+
+def block_sequence(row: dict, common: dict[bytes, int], folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of the block's documents, where each token is, whether it is learnt from)."""
+    places, words = block_words(row)
+    lengths = unpack(row["lengths"]).astype(np.int64)
+    seq, at = sequence(symbols_of(words, common)[places] if words else places, lengths)
+    learn = np.array([not held_out(i, folds) for i in row["doc_ids"]])
+    return seq, at, np.repeat(learn, lengths + 1)
+
+
+def grams_by_bucket(seq: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct longest contexts with their next symbols, by bucket and value; which one each place has; the bounds of the buckets).
+
+    The bucket is that of the context's last two symbols, so all its suffixes but the shortest are in it.
+    """
+    found, which = np.unique(context_keys(seq, at, ORDER) * SYMBOLS + seq[at], return_inverse=True)
+    pair = (found // SYMBOLS % SYMBOLS**2).astype(np.uint64)
+    bucket = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[which], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def grown(tree: SuffixTree, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, least: int) -> SuffixTree:
+    """The tree with the longer contexts of these counts that are seen ``least`` times and diverge."""
+    out = copy.copy(tree)
+    out.levels = list(tree.levels)
+    for depth in range(2, ORDER + 1):
+        keys, own = np.unique(context % SYMBOLS**depth, return_inverse=True)
+        entry, where = np.unique(own * SYMBOLS + symbol, return_inverse=True)
+        times = np.bincount(where, count, len(entry)).astype(np.int64)
+        often = np.bincount(entry // SYMBOLS, times, len(keys)) >= least
+        mine = often[entry // SYMBOLS]
+        new = np.cumsum(often) - 1
+        out.add(keys[often], new[entry[mine] // SYMBOLS], entry[mine] % SYMBOLS, times[mine])
+    return out
+
+
+def answers(ws: Workspace, held: DataFrame, shared, least: int, folds: int, n: int, buckets: int) -> DataFrame:
+    """block, bucket, probs: probabilities of the block's distinct next symbols in their contexts, and of tokens not learnt.
+
+    A context's counts and the contexts that ask for it meet in its bucket, so the tree's longer
+    contexts grow with the text and no task or driver holds them all.
+    """
+    def count(batches):
+        _, names, _ = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                seq, at, learn = block_sequence(row, names, folds)
+                found, which, bounds = grams_by_bucket(seq, at, buckets)
+                times = np.bincount(which[learn], minlength=len(found))
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    lo, hi = bounds[k], bounds[k + 1]
+                    gaps = np.diff(np.r_[0, found[lo:hi]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([pack(np.r_[gaps & 0xFFFFFFFF, gaps >> 32])]), pa.array([pack(times[lo:hi])])],
+                        ["bucket", "block", "gaps", "times"],
+                    )
+
+    def answer(batches):
+        tree, _, _ = shared.value
+        for (bucket,), group in sorted_groups(batches, 1):
+            parts = []
+            for g in group.column("gaps").to_pylist():
+                low, high = unpack(g).astype(np.int64).reshape(2, -1)
+                parts.append(np.cumsum(low | high << 32))
+            times = np.concatenate([unpack(t) for t in group.column("times").to_pylist()])
+            found, which = np.unique(np.concatenate(parts), return_inverse=True)
+            total = np.bincount(which, times, len(found))
+            context, symbol, learnt = found // SYMBOLS, found % SYMBOLS, total > 0
+            local = grown(tree, context[learnt], symbol[learnt], total[learnt], least)
+            p, unknown = local.at(context, symbol, np.arange(len(found)), ORDER)
+            both = np.stack([p, unknown]).astype("<f4")
+            ends = np.cumsum([len(x) for x in parts])
+            for block, lo, hi in zip(group.column("block").to_pylist(), np.r_[0, ends], ends):
+                packed = zstandard.compress(both[:, which[lo:hi]].tobytes(), 3)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["block", "bucket", "probs"])
+
+    rows = held.select("block", "doc_ids", "lengths", "places", "words").mapInArrow(count, "bucket int, block long, gaps binary, times binary")
+    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return ws.write(rows.mapInArrow(answer, "block long, bucket int, probs binary"), "answers")
 
 
-def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, rarest: float = 1e-4, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, least: int = LEAST, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from the rows whose crc32(doc_id as text) mod ``folds`` isn't 0; a row without an
@@ -349,8 +420,10 @@ def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, rarest: float =
     total = tokens + learnt
     distinct += learnt > 0
     tree = SuffixTree(size, novel)
-    learn_tree(ws, held, tree, common, total, rarest, folds, n)
+    first_level(ws, held, tree, common, size, least, folds, n)
     model = spark.sparkContext.broadcast((tree, common, whole))
+    buckets = 2 * n
+    answered = answers(ws, held, model, least, folds, n, buckets)
     below = np.log10(total + 0.1 * (distinct + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -358,21 +431,24 @@ def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, rarest: float =
         if not left.num_rows:
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], columns)
-        suffixes, names, mass = model.value
+        _, names, mass = model.value
         row = left.to_pylist()[0]
         ids, lengths = row["doc_ids"], unpack(row["lengths"]).astype(np.int64)
-        places, words = block_words(row)
-        c = np.zeros(len(words), np.int64)
-        for x in right.column("packed").to_pylist():
-            at, low, high = unpack(x).astype(np.int64).reshape(3, -1)
-            c[at] = low | high << 32
+        seq, at, _ = block_sequence(row, names, folds)
         raw = unpack(row["places"]).astype(np.int64)
-        symbols = symbols_of(words, names)[places] if words else places
-        upto = np.cumsum(lengths)
-        seen = np.insert(c[raw], upto, learnt)
-        seq, at = sequence(symbols, lengths)
+        c = np.zeros(int(raw.max()) + 1 if len(raw) else 0, np.int64)
+        found, which, bounds = grams_by_bucket(seq, at, buckets)
+        probs = np.empty((2, len(found)), "<f4")
+        for packed, bucket, p in zip(*(right.column(x).to_pylist() for x in ("packed", "bucket", "probs"))):
+            if packed is not None:
+                places, low, high = unpack(packed).astype(np.int64).reshape(3, -1)
+                c[places] = low | high << 32
+            else:
+                probs[:, bounds[bucket] : bounds[bucket + 1]] = np.frombuffer(zstandard.decompress(p), "<f4").reshape(2, -1)
+        seen = np.insert(c[raw], np.cumsum(lengths), learnt)
         share = np.where(seq[at] > COMMON, seen / np.maximum(mass[seq[at]], 1), 1.0)
-        logs = suffixes.score(seq, at, seen == 0, share)
+        known, unknown = probs.astype(np.float64)
+        logs = np.log10(np.where(seen == 0, unknown[which], known[which] * share))
         first = np.cumsum(lengths + 1) - (lengths + 1)
         base = np.log10(seen + 0.1) - below
         return pa.Table.from_arrays(
@@ -384,5 +460,6 @@ def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, rarest: float =
         )
 
     left = held.select("block", "doc_ids", "lengths", "places", "words")
-    scored = left.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, SCORED)
+    right = counted.select("block", "packed", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("probs")).unionByName(answered.select("block", F.lit(None).cast("binary").alias("packed"), "bucket", "probs"))
+    scored = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

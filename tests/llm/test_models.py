@@ -138,6 +138,17 @@ def test_tree_beats_the_base_on_rows_held_out(spark):
     assert got[0] > got[1]
 
 
+def test_rare_contexts_count_in_large_tables(spark):
+    """A passage seen 40 times is learnt however many other tokens there are."""
+    rng = np.random.default_rng(9)
+    out = next(i for i in range(1000, 2000) if language_model.held_out(i))
+    rows = [(i, " ".join(f"f{k}" for k in rng.integers(0, 1000, 10_000)) + (" qa qb qc qd" if i % 2 else "")) for i in range(88)]
+    rows.append((out, "qa qb qc qd"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score_texts(df, Workspace(spark, "t")).collect()}[out]
+    assert got.held_out and got.score > got.base_score + 8
+
+
 def grown_tree(seq, at, novel):
     """A tree over all contexts of a sequence, with every context of each depth as candidate."""
     n = language_model.SYMBOLS
