@@ -156,8 +156,13 @@ def repeat_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, whole, with all their columns.
 
     A document is repeated as often as the mix repeats its words, rounded, at least once if
-    any are taken.
+    any are taken. Rows without an id are told apart by their size.
     """
-    times = mix(docs, ws)[0].where("taken > 0").select("doc_id", F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = ws.write(times.groupBy("doc_id").agg(F.max("_times").alias("_times")), "times")
-    return docs.join(times, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_k")).select(*docs.columns)
+    # a size only where there is no id
+    times = mix(docs, ws)[0].where("taken > 0").select(
+        F.col("doc_id").alias("_mix_id"), F.when(F.col("doc_id").isNull(), F.col("size")).alias("_mix_size"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")
+    )
+    times = ws.write(times.groupBy("_mix_id", "_mix_size").agg(F.max("_times").alias("_times")), "times")
+    size = F.when(docs["doc_id"].isNull(), words(docs["text"]))
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mix_id"]) & size.eqNullSafe(times["_mix_size"]))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_k")).select(*docs.columns)

@@ -78,3 +78,10 @@ def test_repeats_and_empty(spark, docs, empty):
     out = mixing.repeat_documents(docs, Workspace(spark, "t"))
     assert out.columns == docs.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert mixing.mix(empty, Workspace(spark, "t"))[0].count() == 0 and mixing.repeat_documents(empty, Workspace(spark, "t")).count() == 0
+
+
+def test_rows_without_an_id_are_repeated_too(spark):
+    rows = [(i, "a b c d", "x") for i in range(20)] + [(None, "no id here", "x"), (None, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.repeat_documents(df, Workspace(spark, "t")).collect()
+    assert {r.text for r in got if r.doc_id is None} == {"no id here"} and {r.doc_id for r in got} == {None, *range(20)}
