@@ -107,6 +107,22 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash that tells rows with the same id apart by their text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, ws: Workspace, gone: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, mark of the text) isn't in ``gone(doc_id, mark)``, with all their columns."""
+    gone = ws.write(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(GONE[0]), F.col("mark").alias(GONE[1])).distinct(), "gone")
+    same = (docs["doc_id"].cast("long") == gone[GONE[0]]) & (text_mark(docs[text_col]) == gone[GONE[1]])
+    return docs.join(gone, same, "left_anti")
+
+
+#: Columns of a table of rows that go.
+GONE = ("__gone_id", "__gone_mark")
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str]]]:
     """(values of column 0, whole texts of column 1) in blocks of bounded size; a null text is empty.
 
