@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -123,6 +125,13 @@ def without(docs: DataFrame, ws: Workspace, gone: DataFrame, text_col: str = "te
 GONE = ("__gone_id", "__gone_mark")
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: it may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str]]]:
     """(values of column 0, whole texts of column 1) in blocks of bounded size; a null text is empty.
 
@@ -145,6 +154,17 @@ def text_batches(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYT
                     ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
+    del ids, texts
+    trim()
+
+
+def marked_batches(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str], pa.Array]]:
+    """As ``text_batches``, with column 2 beside them; a block doesn't go beyond its batch."""
+    for batch in batches:
+        at = 0
+        for ids, texts in text_batches([batch.select([0, 1])], block_bytes):
+            yield ids, texts, batch.column(2).slice(at, len(ids))
+            at += len(ids)
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -170,6 +190,8 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tu
         held.append(batch.slice(start))
     if current is not None:
         yield current, pa.Table.from_batches(held)
+    del held
+    trim()
 
 
 def min_labels(linked) -> list[int]:

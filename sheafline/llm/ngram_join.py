@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, min_labels, partitions, sorted_groups, text_batches, text_mark, without
+from .common import Workspace, components, marked_batches, min_labels, partitions, sorted_groups, text_mark, without
 
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words a worker remembers the hashes of.
@@ -361,22 +361,18 @@ def near_rows(
 
     def sketched(batches):
         a, b = _COEFFICIENTS.get((sketch, seed)) or _COEFFICIENTS.setdefault((sketch, seed), coefficients(sketch, seed))
-        for batch in batches:
-            marks = batch.column(2)
-            at = 0
-            for ids, whole in text_batches([batch.select([0, 1])]):
-                sets = [s if i is not None else s[:0] for i, s in zip(ids, (shingle_set(t, shingle) for t in whole))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()), marks.slice(at, len(ids)),
-                        pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([minhash(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([binned(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "mark", "digest", "size", "sketch", "bins"],
-                )
-                at += len(ids)
+        for ids, whole, marks in marked_batches(batches):
+            sets = [s if i is not None else s[:0] for i, s in zip(ids, (shingle_set(t, shingle) for t in whole))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), marks,
+                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([minhash(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([binned(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["doc_id", "mark", "digest", "size", "sketch", "bins"],
+            )
 
     known = texts.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
     known = ws.write(known.mapInArrow(sketched, "doc_id long, mark long, digest binary, size long, sketch binary, bins binary"), "sketches")

@@ -25,9 +25,8 @@ def test_toxicity_on_rows_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
     got = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
-    # a third of these tables' toxic labels go with no word of their own
-    assert auc(got.score.values, got.toxic.values) > 0.7
-    assert got[got.toxic == 0].predicted.mean() < 0.01 and got[got.toxic == 1].predicted.mean() > 0.5
+    assert auc(got.score.values, got.toxic.values) > 0.95
+    assert got[got.toxic == 0].predicted.mean() < 0.005 and got[got.toxic == 1].predicted.mean() > 0.75
 
 
 def test_toxicity_of_odd_tables(spark, odd, empty, labels):
