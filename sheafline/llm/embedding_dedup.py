@@ -50,15 +50,17 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = 0.95, mis
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     whose id is null, link with nothing; vectors of different lengths don't link. Equal
     vectors link whatever their number. Rows that repeat an id and a vector are linked
-    copies. An empty table gives an empty result.
+    copies; rows that repeat an id with other vectors each have their own links. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     usable = (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("digest", F.when(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)), F.sha2(F.to_json("v"), 256)))
     keyed = ws.write(rows.select("vec_id", "digest"), "keyed")
-    classes = ws.write(keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = rows.where("digest IS NOT NULL").join(classes, "digest").where("vec_id = rep").select("rep", "copies", "v").dropDuplicates(["rep"])
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    # numbers of the written classes stand for them from here on: an id may have several vectors
+    classes = ws.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    first = classes.select("rep", "copies", "v")
     n = classes.count()
     bits, tables = plan(n, threshold, miss)
 
@@ -132,9 +134,12 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = 0.95, mis
     found = ws.write(full.mapInArrow(compare, "rep long, links long, least long"), "found")
     merged = components(ws, found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(merged.withColumnRenamed("id", "rep"), "rep", "left")
+    own = classes.select("digest", "rep", "first_id", "copies")
+    named = merged.withColumnRenamed("id", "rep").join(own.select("rep", "first_id"), "rep")
+    least = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    known = own.join(links, "rep", "left").join(named.join(least, "component").select("rep", "least_id"), "rep", "left")
     out = keyed.join(known, "digest", "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("least_id", "first_id", "vec_id")
     return out.select(
         "vec_id",
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
