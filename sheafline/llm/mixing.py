@@ -21,6 +21,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 STEP, PERIOD = 1327217885, 2147483648
 #: Pieces that a source's shuffled line is sorted in, and cells of the weight table.
 LANES, CELLS = 512, 4096
+#: Slots of the mix, about, however large the sources are; each source has one more at most.
+SLOTS = 1 << 18
 #: Slots ranked together.
 SLOT_CHUNK = 65536
 
@@ -115,9 +117,9 @@ def mix(docs: DataFrame, ws: Workspace, share: float = 1.5, most: float = 2.0, w
     rows = ws.write(rows, "sizes")
     wanted = ws.write(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
     if block is None:
-        # equal blocks: about a 4096th of the smallest source's words, from 16 to 8192
-        least = wanted.where("source_size > 0").agg(F.min("source_size")).first()[0] or 0
-        block = max(16, min(8192, int(least) // 4096))
+        # equal blocks: as many as there are slots, of 16 words at least; a smaller source is one block
+        total = wanted.agg(F.sum("need")).first()[0] or 0
+        block = max(16, -(-int(total) // SLOTS))
     mark = F.xxhash64(F.lit(seed), "doc_id", "size")
     lined = rows.join(wanted, rows.source.eqNullSafe(wanted.source)).select("doc_id", rows.source, "size", "i", "source_size", "target")
     lined = lined.withColumn("mark", mark).withColumn("lane", F.pmod(F.shiftrightunsigned("mark", 40), F.lit(LANES)))
@@ -160,9 +162,12 @@ def repeat_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     """
     # a size only where there is no id
     times = mix(docs, ws)[0].where("taken > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.when(F.col("doc_id").isNull(), F.col("size")).alias("_mix_size"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")
+        F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("size")).alias("_size"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")
     )
-    times = ws.write(times.groupBy("_mix_id", "_mix_size").agg(F.max("_times").alias("_times")), "times")
+    times = ws.write(times.groupBy("_id", "_size").agg(F.max("_times").alias("_times")), "times")
     size = F.when(docs["doc_id"].isNull(), words(docs["text"]))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mix_id"]) & size.eqNullSafe(times["_mix_size"]))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_k")).select(*docs.columns)
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & size.eqNullSafe(times["_size"]))
+    copy = "_copy"
+    while copy in docs.columns:
+        copy += "_"
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy)).drop(copy)

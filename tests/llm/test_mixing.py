@@ -80,6 +80,24 @@ def test_repeats_and_empty(spark, docs, empty):
     assert mixing.mix(empty, Workspace(spark, "t"))[0].count() == 0 and mixing.repeat_documents(empty, Workspace(spark, "t")).count() == 0
 
 
+def test_repeats_of_the_odd_table(spark, odd):
+    """Any column name, rows that repeat an id, and rows without one."""
+    odd = odd.withColumns({c: F.lit("z") for c in ("_times", "_k", "_id", "_size", "_copy")})
+    got = mixing.repeat_documents(odd, Workspace(spark, "t"))
+    assert got.columns == odd.columns
+    taken = {(r.doc_id, r["size"]) for r in mixing.mix(odd, Workspace(spark, "t"))[0].collect() if r.taken}
+    assert {(r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in got.collect()} >= taken
+
+
+def test_slots_do_not_follow_the_smallest_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rows = [(i, " ".join(["w"] * 500), "large") for i in range(100)] + [(1000, "a b c d e f g h", "small")]
+    taken, slots = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Workspace(spark, "t"))
+    assert slots.count() <= 64 + 4
+    got = {r.source: (r.n, r.target) for r in taken.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()}
+    assert all(abs(n - target) <= 1 for n, target in got.values())
+
+
 def test_rows_without_an_id_are_repeated_too(spark):
     rows = [(i, "a b c d", "x") for i in range(20)] + [(None, "no id here", "x"), (None, "", "x"), (None, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
