@@ -114,15 +114,16 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def without(docs: DataFrame, ws: Workspace, gone: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, mark of the text) isn't in ``gone(doc_id, mark)``, with all their columns."""
-    gone = ws.write(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(GONE[0]), F.col("mark").alias(GONE[1])).distinct(), "gone")
-    same = (docs["doc_id"].cast("long") == gone[GONE[0]]) & (text_mark(docs[text_col]) == gone[GONE[1]])
-    return docs.join(gone, same, "left_anti")
+def matched(docs: DataFrame, ws: Workspace, rows: DataFrame, how: str, name: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, mark of the text) is in ``rows(doc_id, mark)``, or isn't, with all their columns."""
+    rows = ws.write(rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), name)
+    same = (docs["doc_id"].cast("long") == rows["__id"]) & (text_mark(docs[text_col]) == rows["__mark"])
+    return docs.join(rows, same, how)
 
 
-#: Columns of a table of rows that go.
-GONE = ("__gone_id", "__gone_mark")
+def without(docs: DataFrame, ws: Workspace, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, mark of the text) isn't in ``gone(doc_id, mark)``."""
+    return matched(docs, ws, gone, "left_anti", "gone")
 
 
 def trim() -> None:

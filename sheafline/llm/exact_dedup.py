@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, matched, text_mark, without
 
-#: 512 to 4096 characters, ending at the first place after 512 where the content allows.
-CHUNK = r"(?s).{512,4096}?(?:d |\n)|.{1,4096}"
+#: 512 to 4096 characters, ending at the first place after 512 where the content allows: prose, code and encoded bytes all have some.
+CHUNK = r"(?s).{512,4096}?(?:d |\n|[。、，；;=}]|[0-9][a-z])|.{1,4096}"
 #: Non-ASCII characters that lower() changes.
 CAPITAL = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}]]"
 OTHER = r"[\x00-\x7F[^\p{IsUppercase}\p{Lt}]]"
@@ -37,8 +37,8 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def exact_groups(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", ident=F.xxhash64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_rows(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", ident=F.xxhash64) -> DataFrame:
+    """One row per row of ``docs``: doc_id, mark (of the text), keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. The largest id of a group stays; rows
     that repeat an id and a text are equal rows, and all of them carry ``kept`` if their
@@ -47,8 +47,8 @@ def exact_groups(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_co
     chunk hash: where two different chunks share one, documents that hold either are
     compared by their whole text instead.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(F.col(text_col)).alias("norm"))
-    cut = texts.select("doc_id", "norm", chunks(F.col("norm")).alias("chunks"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), normal(F.col(text_col)).alias("norm"))
+    cut = texts.select("doc_id", "mark", "norm", chunks(F.col("norm")).alias("chunks"))
 
     def identifier(c: Column) -> Column:
         return F.struct(ident(c).alias("h"), F.char_length(c).alias("n"))
@@ -58,27 +58,41 @@ def exact_groups(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_co
     seen = each.select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
     clashes = ws.write(seen.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id"), "clashes")
 
-    made = cut.select("doc_id", F.transform("chunks", identifier).alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
+    made = cut.select("doc_id", "mark", F.transform("chunks", identifier).alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
     recipes = ws.write(made, "recipes")
     if not clashes.isEmpty():
         bad = recipes.select("recipe", F.explode("recipe").alias("id")).join(clashes, "id", "left_semi").select("recipe").distinct()
         bad = ws.write(bad, "clashing")
         clean = recipes.join(bad, "recipe", "left_anti").withColumn("whole", F.lit(""))
-        full = cut.select(F.transform("chunks", identifier).alias("recipe"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("whole"))
+        full = cut.select(F.transform("chunks", identifier).alias("recipe"), "doc_id", "mark", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("whole"))
         recipes = ws.write(clean.unionByName(full.join(bad, "recipe", "left_semi")), "verified")
         key = ["recipe", "whole"]
     else:
         key = ["recipe"]
-    groups = recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below reads both sides by key and a group of very many copies can be split
+    groups = ws.write(recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return recipes.join(groups, key).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
+        "doc_id", "mark", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )
 
 
+def exact_groups(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: as ``exact_rows``, without the mark."""
+    return exact_rows(docs, ws, **options).drop("mark")
+
+
 def drop_copies(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows without an id stay."""
-    gone = ws.write(exact_groups(docs, ws).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; rows without an id stay.
+
+    Rows that repeat an id are told apart by their text; of rows that repeat both, one stays.
+    """
+    rows = ws.write(exact_rows(docs, ws).where("doc_id IS NOT NULL").select("doc_id", "mark", "kept"), "rows")
+    kept = without(docs, ws, rows.where("not kept"))
+    again = ws.write(rows.where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"), "repeated")
+    if again.isEmpty():
+        return kept
+    several = matched(kept, ws, again, "left_semi", "several").withColumn("__mark", text_mark(F.col("text"))).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+    return matched(kept, ws, again, "left_anti", "single").unionByName(several)
 
 
 ORACLE = """

@@ -51,6 +51,31 @@ def test_drop_copies_keeps_columns(spark, odd):
     kept = exact_dedup.drop_copies(odd, Workspace(spark, "t"))
     assert kept.columns == odd.columns
     assert len([r for r in kept.collect() if normal(r.text) == "one"]) == 2  # the largest id, and the row without an id
+    rows = [(1, "a b"), (1, "A B"), (1, "c"), (2, "a b"), (2, "a b"), (3, "d"), (3, "d"), (3, "d")]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    assert sorted(map(tuple, got)) == [(1, "c"), (2, "a b"), (3, "d")]
+
+
+def test_exact_texts_without_spaces_or_line_ends(spark):
+    """Content decides where such texts are cut: one character more in front leaves most chunks as they are."""
+    rng = np.random.default_rng(5)
+    whole = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 60_000))
+    cut = spark.createDataFrame([(0, whole), (1, "x" + whole)], "i long, t string").select("i", F.explode(exact_dedup.chunks(F.col("t"))).alias("c"))
+    have = defaultdict(set)
+    for r in cut.collect():
+        have[r.i].add(r.c)
+    assert len(have[0] & have[1]) > 0.9 * len(have[0])
+
+
+def repeated_ids(spark):
+    """Ids that stand for two texts or vectors each."""
+    texts = ["one two three four five six seven", "red green blue black white grey pink", "red green blue black white grey pink"]
+    return spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[0])], "doc_id long, text string")
+
+
+def test_near_documents_of_repeated_ids(spark):
+    got = ngram_join.near_documents(repeated_ids(spark), Workspace(spark, "t")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
 
 
 def shingles(x, n=5):
@@ -186,13 +211,15 @@ def cloud(n=240, seed=2):
     return [(i, (centers[i % 12] + rng.standard_normal(16) * 0.18).astype(np.float32).tolist()) for i in range(n)]
 
 
+#: One id with two vectors, and a neighbour of each.
+TWICE = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0]), (4, [0.01, 1.0])]
 ODD_VECTORS = [
     (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [float("inf"), 1.0]),
     (None, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (2, [1.0, 0.0]), (11, [-1.0, 0.0]), (12, [3e38, 3e37]),
 ]
 
 
-@pytest.mark.parametrize("rows", [cloud(), ODD_VECTORS, []], ids=["cloud", "odd", "empty"])
+@pytest.mark.parametrize("rows", [cloud(), ODD_VECTORS, TWICE, []], ids=["cloud", "odd", "twice", "empty"])
 def test_near_vectors(spark, rows):
     df = spark.createDataFrame([(*r, "z", "z") for r in rows], "vec_id long, embedding array<float>, rep string, component string")
     got = embedding_dedup.near_vectors(df, Workspace(spark, "t")).collect()
