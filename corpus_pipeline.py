@@ -32,7 +32,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of a round trip."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, Workspace(spark, "encoding"), path, public_tokenizers.PATTERN)
+    # smaller blocks than by itself: the workers still hold what earlier stages have left
+    return bpe.round_trip(docs, Workspace(spark, "encoding"), path, public_tokenizers.PATTERN, block_bytes=8 << 20)
 
 
 STAGES = [
@@ -42,7 +43,7 @@ STAGES = [
     ("mixing", mixing_stage),
     ("byte_level_bpe", encoding_stage),
 ]
-#: The learnt, randomised and tokenizing stages can't be written in SQL; tests/llm compares them with brute force.
+#: The learnt, randomised and tokenizing stages can't be written in SQL; tests/llm/test_pipeline.py compares them with brute force.
 ORACLE_SQL = None
 
 
