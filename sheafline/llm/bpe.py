@@ -44,6 +44,9 @@ def unpack(data: bytes) -> np.ndarray:
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[start : start + length] for each pair, joined."""
+    if len(lengths) <= 1 << 18:
+        ends = np.cumsum(lengths)
+        return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
     out = np.empty(int(lengths.sum()), values.dtype)
     done = 0
     for i in range(0, len(lengths), 1 << 18):  # the index arrays stay small
@@ -102,10 +105,11 @@ def blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> Dat
     return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, places binary, words array<binary>")
 
 
-def encode(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, ids (array<int>) for every row; a null or empty text has no ids.
+def reassembled(docs: DataFrame, ws: Workspace, path: str, pattern: str, finish, schema: str, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """What ``finish(doc_ids, pieces, bounds)`` gives for each block, in one Python stage.
 
-    Rows that repeat an id each get a row of their own.
+    ``pieces(lo, hi)`` has the ids of the block's pre-tokens from lo to hi, and document k those
+    from bounds[k] to bounds[k + 1].
     """
     docs = docs.selectExpr(f"CAST({id_col} AS BIGINT) AS doc_id", f"{text_col} AS text")
     spark = docs.sparkSession
@@ -141,25 +145,56 @@ def encode(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc_id", "ids"])
-        doc_ids = left.column("doc_ids").to_pylist()[0]
-        lengths = unpack(left.column("lengths")[0].as_py()).astype(np.int64)
+            return finish([], lambda lo, hi: np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        doc_ids = left.column("doc_ids")[0].as_py()
+        bounds = np.r_[0, np.cumsum(unpack(left.column("lengths")[0].as_py()), dtype=np.int64)]
         places = unpack(left.column("places")[0].as_py())
-        own = left.column("words").to_pylist()[0]
-        parts = [unpack_ragged(x) for x in right.column("ids").to_pylist()]
-        flat = np.frombuffer(b"".join(x[2] for x in parts), "<u4")
-        where = np.concatenate([unpack_ragged(own[b])[0] for b in right.column("bucket").to_pylist()]) if parts else np.zeros(0, np.int64)
-        sizes = np.concatenate([x[0] for x in parts]).astype(np.int64) // 4 if parts else np.zeros(0, np.int64)
-        size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
-        size[where], start[where] = sizes, np.cumsum(sizes) - sizes
-        n_ids = size[places]
-        ids = ragged(flat, start[places], n_ids)
-        ends = np.r_[0, np.cumsum(n_ids)][np.cumsum(lengths)]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.view("<i4")))
-        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), lists], ["doc_id", "ids"])
+        own = left.column("words")[0]
+        flat, size = [], np.zeros(int(places.max()) + 1 if len(places) else 0, np.uint32)
+        start, upto = np.zeros(len(size), np.int64), 0
+        for bucket, packed in zip(right.column("bucket").to_pylist(), right.column("ids")):
+            lengths, _, ids = unpack_ragged(packed.as_py())
+            where, n = unpack_ragged(own[bucket].as_py())[0], lengths // 4
+            ends = np.cumsum(n, dtype=np.int64)
+            size[where], start[where] = n, upto + ends - n
+            upto += int(ends[-1])
+            flat.append(ids)
+        flat = np.frombuffer(b"".join(flat), "<u4")
+
+        def pieces(lo: int, hi: int) -> np.ndarray:
+            at = places[lo:hi]
+            return ragged(flat, start[at], size[at].astype(np.int64))
+
+        return finish(doc_ids, pieces, bounds)
 
     left = held.select("block", "doc_ids", "lengths", "places", "words")
-    return left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+    return left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(reassemble, schema)
+
+
+def slices(bounds: np.ndarray, most: int = 1 << 18):
+    """(first, end) of runs of documents of ``most`` pre-tokens together, or of one that has more."""
+    k = 0
+    while k + 1 < len(bounds):
+        end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + most, side="right")) - 1)
+        yield k, end
+        k = end
+
+
+def encode(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, ids (array<int>) for every row; a null or empty text has no ids.
+
+    Rows that repeat an id each get a row of their own.
+    """
+    def lists(doc_ids, pieces, bounds):
+        out = []
+        for k, end in slices(bounds):
+            parts = [pieces(bounds[i], bounds[i + 1]) for i in range(k, end)]
+            ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view("<i4")))
+            out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[k:end], pa.int64()), ids], ["doc_id", "ids"]))
+        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+
+    return reassembled(docs, ws, path, pattern, lists, "doc_id long, ids array<int>", id_col, text_col, block_bytes)
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +219,6 @@ def decoded_batches(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray, row
         yield pa.RecordBatch.from_arrays([part.column(0), lists, raw], ["doc_id", "ids", "text_bytes"])
 
 
-def digested(batch: pa.RecordBatch) -> pa.RecordBatch:
-    lists, raw = batch.column(1), batch.column(2)
-    ids = lists.flatten().to_numpy().astype("<u4", copy=False)
-    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    columns = [
-        batch.column(0),
-        pa.array(np.diff(at).astype(np.int64)),
-        pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
-        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw], pa.string()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text_bytes: each id joined with its bytes in the fixed-size table, in order."""
     def run(batches):
@@ -207,16 +229,33 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text_bytes binary")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: decoding and digests in one Python stage."""
-    def run(batches):
-        data, at = token_bytes(path)
-        for batch in batches:
-            for part in decoded_batches(batch, data, at):
-                yield digested(part)
-
-    return encoded.mapInArrow(run, DIGESTED)
+def round_trip(docs: DataFrame, ws: Workspace, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encode`` and ``decode``, but only digests leave the blocks.
 
-
-def round_trip(docs: DataFrame, ws: Workspace, path: str, pattern: str) -> DataFrame:
-    return digests(encode(docs, ws, path, pattern), path)
+    Ids are decoded and digested a slice of a document at a time.
+    """
+    def digests(doc_ids, pieces, bounds):
+        data, at = token_table(path)
+        counts, coded, decoded = [], [], []
+        for k in range(len(doc_ids)):
+            n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
+            for lo in range(bounds[k], bounds[k + 1], 1 << 18):
+                ids = pieces(lo, min(lo + (1 << 18), bounds[k + 1]))
+                n += len(ids)
+                ids_digest.update(ids)
+                text_digest.update(ragged(data, at[ids], at[ids + 1] - at[ids]))
+            counts.append(n)
+            coded.append(ids_digest.hexdigest())
+            decoded.append(text_digest.hexdigest())
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return reassembled(docs, ws, path, pattern, digests, DIGESTED, id_col, text_col, block_bytes)
+
+
+_TABLES: dict = {}
+
+
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """``token_bytes``, read once by a worker."""
+    return _TABLES.get(path) or _TABLES.setdefault(path, token_bytes(path))
