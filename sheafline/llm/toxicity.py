@@ -36,7 +36,7 @@ PURE = 30  # times as common in toxic documents as in others, for a voter
 PREFIXES = (3, 4, 5, 6)
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 STRETCHED = regex.compile(r"(\p{L})\1\1")
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def word_features(raw: str) -> tuple[str, ...]:
@@ -78,7 +78,7 @@ class All(dict):
 
     def __missing__(self, raw: str) -> tuple:
         names = word_features(raw)
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 4:
             self.clear()
         found = self[raw] = (names, tuple(dense(f) for f in names if f[0] == "^"))
         return found
@@ -278,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             for y, text in zip(ys, whole):
                 rows[y] += 1
                 seen[y].update(present(text, names.__getitem__))
-            if len(seen[0]) + len(seen[1]) > 600_000:
+            if len(seen[0]) + len(seen[1]) > 300_000:
                 yield out()
                 seen, rows = {0: Counter(), 1: Counter()}, Counter()
         yield out()
