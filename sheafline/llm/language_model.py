@@ -391,7 +391,7 @@ def answers(ws: Workspace, held: DataFrame, shared, least: int, folds: int, n: i
     return ws.write(rows.mapInArrow(answer, "block long, bucket int, probs binary"), "answers")
 
 
-def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, least: int = LEAST, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, least: int = LEAST, block_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from the rows whose crc32(doc_id as text) mod ``folds`` isn't 0; a row without an
