@@ -59,10 +59,16 @@ def lookup_rules(names: DataFrame, corpus: DataFrame) -> DataFrame:
     return first.join(best, "rule_name", "left").select("rule_name", F.when(F.col("exact"), F.col("content")).otherwise(F.col("found")).alias("content"))
 
 
-def with_contents(wanted: DataFrame, corpus: DataFrame, key: str = "request_id") -> DataFrame:
-    """(key, ord, rule_name, content) of ``wanted(key, names)``; missing and empty documents are dropped."""
+def filled_rules(names: DataFrame, corpus: DataFrame, **made: Column) -> DataFrame:
+    """(rule_name, content, ``made``) of the distinct names found with a content; what is made of it is made once a rule."""
+    found = lookup_rules(names, corpus).where("content <> ''")
+    return found.select("rule_name", "content", *[c.alias(k) for k, c in made.items()])
+
+
+def with_contents(wanted: DataFrame, corpus: DataFrame, key: str = "request_id", **made: Column) -> DataFrame:
+    """(key, ord, rule_name, content, ``made``) of ``wanted(key, names)``; missing and empty documents are dropped."""
     listed = wanted.select(key, F.posexplode("names").alias("ord", "rule_name"))
-    return listed.join(lookup_rules(listed, corpus), "rule_name").where("content <> ''").select(key, "ord", "rule_name", "content")
+    return listed.join(filled_rules(listed, corpus, **made), "rule_name").select(key, "ord", "rule_name", "content", *made)
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column | str], n: int) -> DataFrame:

@@ -34,11 +34,18 @@ def fixed_sections(df: DataFrame, key: str, places: dict[int, Column]) -> DataFr
     return df.select(key, F.explode(rows).alias("s")).select(key, F.col("s.ord").alias("ord"), F.col("s.text").alias("text"))
 
 
-def rule_sections(df: DataFrame, key: str, wanted: Column, corpus: DataFrame, shape) -> DataFrame:
-    """Sections from rules: ``wanted`` lists struct(ord, rule, heading, kind); ``shape(heading, body, kind)`` gives the text."""
+def rule_sections(df: DataFrame, key: str, wanted: Column, corpus: DataFrame, shape, **made: Column) -> DataFrame:
+    """Sections from rules: ``wanted`` lists struct(ord, rule, heading, kind); ``shape(heading, kind)`` gives the text.
+
+    What it takes from a rule's content is ``made`` once a rule, before the rules meet the requests.
+    """
     listed = df.select(key, F.explode(wanted).alias("w")).select(key, "w.*").withColumnRenamed("rule", "rule_name")
-    got = listed.join(select.lookup_rules(listed, corpus), "rule_name").where("content <> ''")
-    return got.select(key, "ord", shape(F.col("heading"), t.extract_body(F.col("content")), F.col("kind")).alias("text"))
+    got = listed.join(select.filled_rules(listed, corpus, **made), "rule_name")
+    return got.select(key, "ord", shape(F.col("heading"), F.col("kind")).alias("text"))
+
+
+def body() -> Column:
+    return t.extract_body(F.col("content"))
 
 
 def wanted(ord_from: int, rules: Column, headings: Column, kind: str) -> Column:
@@ -46,8 +53,8 @@ def wanted(ord_from: int, rules: Column, headings: Column, kind: str) -> Column:
     return F.transform(F.arrays_zip(rules.alias("r"), headings.alias("h")), lambda x, i: F.struct((i + ord_from).alias("ord"), x["r"].alias("rule"), x["h"].alias("heading"), F.lit(kind).alias("kind")))
 
 
-def best_practices(heading: Column, body: Column, kind: Column) -> Column:
-    return cat("## ", heading, F.when(kind == "universal", "").otherwise(" Best Practices"), "\n\n", body, "\n\n")
+def best_practices(heading: Column, kind: Column) -> Column:
+    return cat("## ", heading, F.when(kind == "universal", "").otherwise(" Best Practices"), "\n\n", F.col("body"), "\n\n")
 
 
 def project_context() -> Column:
@@ -78,7 +85,7 @@ def single_project(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     theirs = wanted(200, F.transform(_asked(), F.lower), F.transform(_asked(), t.spaced_title), "framework")
     universal = select.universal_without(F.col("frameworks"))
     shared = wanted(100000, universal, F.transform(universal, t.spaced_title), "universal")
-    rules = rule_sections(requests, ID, F.concat(own, theirs, shared), corpus, best_practices)
+    rules = rule_sections(requests, ID, F.concat(own, theirs, shared), corpus, best_practices, body=body())
     plain = fixed_sections(requests, ID, {
         0: F.lit("# AI Coding Agent Rules\n"),
         1: project_context(),
@@ -167,12 +174,12 @@ def folder_rules(packages: DataFrame, corpus: DataFrame) -> DataFrame:
     two = F.slice(_asked(), 1, 2)
     theirs = wanted(20, F.transform(two, F.lower), F.transform(two, t.spaced_title), "framework")
 
-    def shape(heading: Column, body: Column, kind: Column) -> Column:
-        long = t.head_lines(body, 100, "\n\n[... additional rules apply from general guidelines ...]")
-        short = t.head_lines(body, 80, "\n\n[... truncated for brevity ...]")
-        return F.when(kind == "language", cat("## ", heading, " Best Practices\n\n", long, "\n\n")).otherwise(cat("## ", heading, " Patterns\n\n", short, "\n\n"))
+    def shape(heading: Column, kind: Column) -> Column:
+        return F.when(kind == "language", cat("## ", heading, " Best Practices\n\n", F.col("long"), "\n\n")).otherwise(cat("## ", heading, " Patterns\n\n", F.col("short"), "\n\n"))
 
-    rules = rule_sections(packages, "package_id", F.concat(own, theirs), corpus, shape)
+    long = t.head_lines(body(), 100, "\n\n[... additional rules apply from general guidelines ...]")
+    short = t.head_lines(body(), 80, "\n\n[... truncated for brevity ...]")
+    rules = rule_sections(packages, "package_id", F.concat(own, theirs), corpus, shape, long=long, short=short)
     plain = fixed_sections(packages, "package_id", {
         0: front_matter(F.col("folder_name"), folder_glob()),
         1: cat("# ", t.title(F.col("folder_name")), " Package\n\nThis folder contains the **", F.col("folder_name"), "** package.\n\n"),
@@ -216,9 +223,9 @@ def shared_files(requests: DataFrame, corpus: DataFrame, main: DataFrame | None
         entry("universal", universal, F.transform(universal, t.spaced_title), universal),
     )
     listed = requests.select(ID, F.explode(everything).alias("w")).select(ID, "w.*")
-    got = listed.join(select.lookup_rules(listed, corpus), "rule_name").where("content <> ''").dropDuplicates([ID, "kind", "name"])
+    got = listed.join(select.filled_rules(listed, corpus, body=body()), "rule_name").dropDuplicates([ID, "kind", "name"])
     ending = F.when(F.col("kind") == "universal", "").otherwise(" Best Practices")
-    rules = got.select(ID, cat(".ai-rules/", F.col("kind"), "-", F.col("name"), ".md").alias("path"), cat("# ", F.col("heading"), ending, "\n\n", t.extract_body(F.col("content"))).alias("content"))
+    rules = got.select(ID, cat(".ai-rules/", F.col("kind"), "-", F.col("name"), ".md").alias("path"), cat("# ", F.col("heading"), ending, "\n\n", F.col("body")).alias("content"))
 
     def index_lines(items: Column, line) -> Column:
         return F.array_join(F.transform(items, line), "")
@@ -307,9 +314,8 @@ def with_ids(requests: DataFrame, packages: DataFrame) -> DataFrame:
 def prompts(df: DataFrame, corpus: DataFrame, corpus_name: str = "rule-corpus", source: str | None = None, key: str = ID) -> DataFrame:
     """(key, prompt) for rows with general_guidelines, project_context, rule_type, format_mdc and names (of rules, in order)."""
     source = source or f"the {corpus_name} repository"
-    got = select.with_contents(df, corpus, key)
-    body = t.head_lines(t.extract_body(F.col("content")), 100, "\n[... truncated ...]")
-    entry = cat(f"### Reference: {corpus_name}/rules-new/", F.col("rule_name"), ".mdc\n", body)
+    got = select.with_contents(df, corpus, key, short=t.head_lines(body(), 100, "\n[... truncated ...]"))
+    entry = cat(f"### Reference: {corpus_name}/rules-new/", F.col("rule_name"), ".mdc\n", F.col("short"))
     rules = fold(got.select(key, "ord", entry.alias("text")), key, "\n\n").withColumnRenamed("content", "rules")
     head = fixed.PROMPT_RULES.format(corpus=corpus_name, source=source)
     task_head, task_tail = fixed.PROMPT_TASK.split("{rule_type}")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog
+from . import catalog, oracles
 from .functions import text as t
 from .operators import detect, options, select
 from .plans import assemble
@@ -99,9 +99,12 @@ def q_union_all_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.fold(head.unionByName(body), "conv_id", "\n").withColumnRenamed("content", "doc")
 
 
+SEARCHED = "ring"
+
+
 def q_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P1 L1] The options displayed for a search."""
-    found = options.search(table(spark, sf_dir, "part"), "p_name", "1")
+    found = options.search(table(spark, sf_dir, "part"), "p_name", SEARCHED)
     return options.shown(found, "p_partkey").select("p_partkey", "p_name")
 
 
@@ -156,10 +159,14 @@ def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Not all event types, so that some requests are unknown.
+KNOWN = list(EVENT_MARKERS)[:-2]
+
+
 def q_semi_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P9 P10 S3] Known names that are requested, and requested ones that are unknown."""
     asked = table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct()
-    known = spark.createDataFrame([(i, k) for i, k in enumerate(EVENT_MARKERS)], "pos int, key string")
+    known = spark.createDataFrame(list(enumerate(KNOWN)), "pos int, key string")
     good = options.enabled(known, asked).select("key", F.lit(True).alias("known"))
     return good.unionByName(options.unknown(asked, known, "key").select("key", F.lit(False).alias("known")))
 
@@ -175,18 +182,22 @@ def requests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A small corpus of the names that requests ask for.
+CORPUS = [
+    *((n, 1, f"---\ndescription: {n}\n---\n\n# {n}\n\n" + "\n".join(f"- rule {i} of {n}" for i in range(3 + 30 * k))) for k, n in enumerate(["python", "typescript", "rust", "cpp", "react", *catalog.UNIVERSAL])),
+    ("python-fastapi-best", 2, "# tier two\nfound by name"),
+]
+
+
 def corpus_of(spark: SparkSession) -> DataFrame:
-    """A small corpus of the names that requests ask for."""
-    names = ["python", "typescript", "rust", "cpp", "react", *catalog.UNIVERSAL]
-    rows = [(n, 1, f"---\ndescription: {n}\n---\n\n# {n}\n\n" + "\n".join(f"- rule {i} of {n}" for i in range(3 + 30 * k))) for k, n in enumerate(names)]
-    return spark.createDataFrame([*rows, ("python-fastapi-best", 2, "# tier two\nfound by name")], "rule_name string, tier int, content string")
+    return spark.createDataFrame(CORPUS, "rule_name string, tier int, content string")
 
 
 def q_rule_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[J1 J2 J3 J9 S1 W2] Rules chosen for each request, in order, with the length of their bodies."""
     names = requests_of(spark, sf_dir).select("request_id", select.folder_rule_names(F.col("primary_language"), F.col("frameworks")).alias("names"))
-    got = select.with_contents(names, corpus_of(spark))
-    return got.select("request_id", "ord", "rule_name", F.length(t.extract_body(F.col("content"))).cast("long").alias("chars"))
+    got = select.with_contents(names, corpus_of(spark), chars=F.length(t.extract_body(F.col("content"))).cast("long"))
+    return got.select("request_id", "ord", "rule_name", "chars")
 
 
 def q_single_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +208,12 @@ def q_single_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tool_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[T6 T7 T15 K5 J8] Every tool's files for every request."""
-    return assemble.tool_files(requests_of(spark, sf_dir)).select("request_id", "path", F.length("content").alias("chars"))
+    return assemble.tool_files(requests_of(spark, sf_dir)).select("request_id", "path", F.sha2("content", 256).alias("digest"))
 
 
 def q_shared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[K2 T5] The shared directory of every request."""
-    return assemble.shared_files(requests_of(spark, sf_dir), corpus_of(spark)).select("request_id", "path", F.length("content").alias("chars"))
+    return assemble.shared_files(requests_of(spark, sf_dir), corpus_of(spark)).select("request_id", "path", F.sha2("content", 256).alias("digest"))
 
 
 def q_folder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,9 +226,14 @@ def q_folder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What is typed in the dialogues: numbers in and out of bounds, commands, nothing, and words that one, several or no options hold.
+ANSWERS = ["3", "java", "done", "26", "", "clear", "scal", "zz", "1"]
+
+
 def q_selection_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[X1 U4 L8] The multiple-choice dialogue, with each conversation's turns as answers."""
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 7 + 1).cast("string").alias("word"))
+    word = F.get(F.array(*map(F.lit, ANSWERS)), ((F.length("text") + F.col("turn")) % len(ANSWERS)).cast("int"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", word.alias("word"))
     typed = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "word"))), lambda x: x.word).alias("typed"))
     offered, first = F.array(*map(F.lit, catalog.PRIMARY)), F.array(F.lit("rust"))
     s = typed.select("conv_id", select_many(offered, first, F.col("typed")).alias("s"))
@@ -233,19 +249,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-
-
-def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
-
-
 _MARK = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {p}" for p, k in enumerate(EVENT_MARKERS, 1)) + " END"
 _LANGS = {1: "python", 2: "javascript", 3: "rust", 4: "go", 5: "java"}
-_TITLE = (
-    "array_to_string(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr({0}, i - 1, 1), '[A-Za-z]') "
-    "THEN lower(substr({0}, i, 1)) ELSE upper(substr({0}, i, 1)) END), '')"
-)
+_strip, _TITLE = oracles.strip, oracles.TITLE
 
 
 def _head(n: int, marker: str) -> str:
@@ -271,7 +277,7 @@ ORACLES: dict[str, str] = {
     "q_ordered_dedup": "SELECT user_id, string_agg(event_type, ',' ORDER BY e) AS types FROM (SELECT user_id, event_type, min(event_id) AS e FROM events GROUP BY 1, 2) GROUP BY 1",
     "q_per_group_limit": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3",
     "q_union_all_sections": "SELECT conv_id, '# Conversation ' || conv_id || chr(10) || string_agg('- ' || role || ': ' || text, chr(10) ORDER BY turn) AS doc FROM conversations GROUP BY 1",
-    "q_search_topk": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') ORDER BY p_partkey LIMIT 25",
+    "q_search_topk": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '" + SEARCHED + "') ORDER BY p_partkey LIMIT 25",
     "q_head_lines": f"""SELECT doc_id, {_head(5, "chr(10) || '[... truncated ...]'")} AS head5, {_head(40, "''")} AS head40 FROM documents""",
     "q_mask": "SELECT event_id, CASE WHEN length(event_type) < 8 THEN '****' ELSE repeat('*', 10) || right(event_type, 4) END AS masked FROM events",
     "q_numeric_sel": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 25 THEN 'option ' || p_size END AS picked FROM part",
@@ -284,5 +290,10 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS united,
                array_to_string(list_filter(b, lambda x, i: NOT list_contains(a, x) AND list_position(b, x) = i), ',') AS remaining,
                array_to_string(list_filter(b, lambda x, i: list_contains(a, x) AND list_position(b, x) = i), ',') AS kept FROM s""",
-    "q_semi_validation": "SELECT DISTINCT event_type AS key, event_type IN (" + ", ".join(f"'{k}'" for k in EVENT_MARKERS) + ") AS known FROM events",
+    "q_semi_validation": "SELECT DISTINCT event_type AS key, event_type IN (" + ", ".join(f"'{k}'" for k in KNOWN) + ") AS known FROM events",
+    "q_rule_selection": oracles.rule_selection(CORPUS),
+    "q_single_project": oracles.single_project(CORPUS),
+    "q_tool_files": oracles.tool_files(),
+    "q_shared_files": oracles.shared_files(CORPUS),
+    "q_selection_fold": oracles.selection_fold(ANSWERS, "rust"),
 }
