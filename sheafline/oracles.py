@@ -156,3 +156,46 @@ def selection_fold(answers: list[str], first: str) -> str:
           WHEN word = '' THEN remaining[1] WHEN len(list_filter(remaining, lambda x: contains(x, lower(word)))) = 1 THEN list_filter(remaining, lambda x: contains(x, lower(word)))[1] END AS named
         FROM s JOIN said ON said.conv_id = s.conv_id AND said.k = s.k + 1))
     SELECT conv_id, array_to_string(selected, ',') AS selected, done FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1"""
+
+
+def front_matter(front: str, pattern: str) -> str:
+    entry = f'  - "{pattern}"'
+    return f"""SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN {quoted(front.replace("  - old/**", entry))}
+      ELSE '---' || chr(10) || 'description: ' || {TITLE.format("source")} || {quoted(" package-specific rules" + chr(10) + "globs:" + chr(10) + entry + chr(10) + "alwaysApply: false" + chr(10) + "---" + chr(10) * 2)} END || text) AS digest FROM documents"""
+
+
+def prompt(corpus, corpus_name: str = "rule-corpus") -> str:
+    gap = quoted("\n\n")
+    head = fixed.PROMPT_RULES.format(corpus=corpus_name, source=f"the {corpus_name} repository")
+    task, after = fixed.PROMPT_TASK.split("{rule_type}")
+    return f"""WITH {requests()}, {bodies(corpus)},
+    names AS (SELECT request_id, list_concat(CASE WHEN rule IS NULL THEN CAST([] AS VARCHAR[]) ELSE [rule] END, {chosen(MORE, "lang", "CAST([] AS VARCHAR[])", listed)}, list_transform(fws[1:3], lambda f: lower(f))) AS names FROM asked),
+    each AS (SELECT request_id, unnest(range(len(names))) AS ord, unnest(names) AS rule_name FROM names),
+    short AS (SELECT rule_name, string_split(body, chr(10)) AS l, body FROM found),
+    rules AS (SELECT request_id, string_agg('### Reference: {corpus_name}/rules-new/' || rule_name || '.mdc' || chr(10)
+      || CASE WHEN len(l) > 100 THEN array_to_string(l[1:100], chr(10)) || chr(10) || '[... truncated ...]' ELSE body END, {gap} ORDER BY ord) AS rules FROM each JOIN short USING (rule_name) GROUP BY 1)
+    SELECT request_id, sha256({quoted(fixed.PROMPT_HEADER)} || {gap} || '## General Guidelines for Effective Rules' || {gap} || 'Be brief.' || {gap} || '## Project Context' || {gap} || description || {gap}
+      || CASE WHEN rules IS NULL THEN {quoted(fixed.PROMPT_NO_RULES)} ELSE {quoted(head)} || rules END || {gap} || {quoted(task + "project" + after)} || {gap}
+      || CASE WHEN mono THEN {quoted(fixed.PROMPT_MDC)} ELSE {quoted(fixed.PROMPT_MARKDOWN)} END || {gap} || {quoted(fixed.PROMPT_FOOTER.replace("{corpus}", corpus_name))}) AS digest
+    FROM asked LEFT JOIN rules USING (request_id)"""
+
+
+def monorepo_root(roots: int) -> str:
+    navigation = fixed.NAVIGATION.replace("{last}", fixed.NAVIGATION_MONOREPO)
+    listing = "## Package-Specific Rules\n\nEach package has its own rules. When working in a package, refer to:\n\n"
+    return f"""WITH {requests()},
+    entries AS (SELECT request_id::INTEGER % {roots} AS root, request_id::INTEGER % 3 AS place, 'pkg-' || request_id AS name,
+      '- **pkg-' || request_id || '/**: ' || {TITLE.format("lang")} || CASE WHEN len(fws) > 0 THEN ' with ' || array_to_string(list_transform(fws[1:2], lambda f: {spaced("f")}), ', ') ELSE '' END
+      || chr(10) || '  - See `pkg-' || request_id || '/.cursor/rules/` for Cursor rules' || chr(10) || '  - See `pkg-' || request_id || '/AGENTS.md` for cross-tool rules' AS entry FROM asked),
+    listed AS (SELECT root, {quoted(listing)} || string_agg(entry, chr(10) ORDER BY place, name) || chr(10) AS listed FROM entries GROUP BY 1)
+    SELECT request_id, sha256({quoted("".join(fixed.MONOREPO_FRONTMATTER))} || '# Monorepo AI Coding Rules' || {CONTEXT} || {quoted(fixed.GENERAL_PRINCIPLES)}
+      || CASE WHEN mono THEN {quoted(fixed.MONOREPO_STRUCTURE)} ELSE '' END || listed || {quoted(navigation)} || {quoted(fixed.CRITICAL)}) AS digest
+    FROM asked JOIN listed ON root = request_id::INTEGER % {roots} WHERE request_id::INTEGER < {roots}"""
+
+
+SCALARS = """SELECT p_partkey, p_brand AS folder, p_name || '|' || p_brand || '|x' AS listed,
+  coalesce(nullif(array_to_string(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4), ', '), ''), 'None') AS long_words,
+  CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END AS large, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS flag, p_partkey % 3 <> 1 AS parsed,
+  CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'outside' END AS below,
+  array_to_string(list_transform(range(1, least(p_size, 3) + 1), lambda i: 'Opt ' || i), ', ') || CASE WHEN p_size > 3 THEN ' ... (+' || (p_size - 3) || ' more)' ELSE '' END AS summary
+FROM part"""

@@ -226,6 +226,60 @@ def q_folder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[W1 L1] The options displayed, numbered."""
+    return options.numbered(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "number")
+
+
+#: Front matter of every other document.
+FRONT = "---\ndescription: old\nglobs:\n  - old/**\n---\n"
+
+
+def q_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F20 F22] Documents whose front matter gets a new glob, or that get front matter."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.concat(F.when(F.col("doc_id") % 2 == 0, FRONT).otherwise(""), "text")
+    return docs.select("doc_id", F.sha2(assemble.proper_front_matter(content, F.col("source"), F.lit("src/**/*.py")), 256).alias("digest"))
+
+
+def q_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T8 L4] The prompt for every request."""
+    asked = requests_of(spark, sf_dir).select(
+        "request_id", F.lit("Be brief.").alias("general_guidelines"), F.col("description").alias("project_context"), F.lit("project").alias("rule_type"),
+        F.col("is_monorepo").alias("format_mdc"), select.folder_rule_names(F.col("primary_language"), F.col("frameworks")).alias("names"),
+    )
+    return assemble.prompts(asked, corpus_of(spark)).select("request_id", F.sha2("prompt", 256).alias("digest"))
+
+
+#: Roots that parts stand for packages of.
+ROOTS = 40
+
+
+def q_monorepo_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T4 T12 K3] The root document of each monorepo, with parts as packages."""
+    asked = requests_of(spark, sf_dir).withColumn("project_root", F.concat(F.lit("r"), F.col("request_id").cast("int") % ROOTS))
+    packages = asked.select(
+        F.col("project_root").alias("root"), (F.col("request_id").cast("int") % 3).alias("place"), F.concat(F.lit("pkg-"), "request_id").alias("folder_name"),
+        F.col("primary_language").alias("language"), "frameworks",
+    )
+    made = assemble.monorepo_root(asked.where(F.col("request_id").cast("int") < ROOTS), packages, True)
+    return made.select("request_id", F.sha2("content", 256).alias("digest"))
+
+
+def q_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F7 F8 F11 F16 F17 F18 F19 L7] Small text functions, on parts."""
+    name, words = F.col("p_name"), F.split("p_name", " ")
+    path = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/srv/app/"), "p_name")).otherwise(F.concat(F.lit("/opt\\"), "p_name"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", t.before_glob(F.concat("p_brand", F.lit("/**/*."), "p_name")).alias("folder"),
+        F.array_join(t.comma_split(F.concat(name, F.lit(" , "), "p_brand", F.lit(" ,x"))), "|").alias("listed"),
+        t.joined_or(F.filter(words, lambda w: F.length(w) > 4), "None").alias("long_words"), t.yes_no(F.col("p_size") > 25).alias("large"),
+        t.true_false(F.col("p_size") > 25).alias("flag"), t.parse_flag(F.concat(F.lit(" "), F.get(F.array(F.lit("Yes"), F.lit("no"), F.lit("1 ")), (F.col("p_partkey") % 3).cast("int")))).alias("parsed"),
+        t.relative(path, F.lit("/srv/app/"), F.lit("outside")).alias("below"),
+        options.selected_summary(F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), lambda i: F.concat(F.lit("opt-"), i.cast("string"))), 3).alias("summary"),
+    )
+
+
 #: What is typed in the dialogues: numbers in and out of bounds, commands, nothing, and words that one, several or no options hold.
 ANSWERS = ["3", "java", "done", "26", "", "clear", "scal", "zz", "1"]
 
@@ -246,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q_extract_body, q_keyword_scan, q_detect_priority, q_dep_map, q_glob_left_join, q_anti_universal, q_ordered_dedup, q_per_group_limit,
         q_union_all_sections, q_search_topk, q_head_lines, q_mask, q_numeric_sel, q_doc_stats, q_title, q_replace_line, q_line_count_by_lang,
         q_set_ops, q_semi_validation, q_rule_selection, q_single_project, q_tool_files, q_shared_files, q_folder_rules, q_selection_fold,
+        q_numbered, q_front_matter, q_prompt, q_monorepo_root, q_scalars,
     )
 }
 
@@ -296,4 +351,9 @@ ORACLES: dict[str, str] = {
     "q_tool_files": oracles.tool_files(),
     "q_shared_files": oracles.shared_files(CORPUS),
     "q_selection_fold": oracles.selection_fold(ANSWERS, "rust"),
+    "q_numbered": "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey)::INTEGER AS number FROM part ORDER BY p_partkey LIMIT 25",
+    "q_front_matter": oracles.front_matter(FRONT, "src/**/*.py"),
+    "q_prompt": oracles.prompt(CORPUS),
+    "q_monorepo_root": oracles.monorepo_root(ROOTS),
+    "q_scalars": oracles.SCALARS,
 }
