@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of a request.
 TEMPERATURE, MAX_TOKENS = 0.3, 4000
+SYSTEM = "You are an expert at creating AI coding agent rules. You create specific, example-driven rules that follow best practices for Cursor and Claude Code."
 
 
 def openai_completion(model: str, key: str | None) -> Callable[[str], str | None]:
@@ -26,7 +27,7 @@ def openai_completion(model: str, key: str | None) -> Callable[[str], str | None
             import openai
 
             got = openai.OpenAI(api_key=secret).chat.completions.create(
-                model=model, messages=[{"role": "user", "content": prompt}], temperature=TEMPERATURE, max_tokens=MAX_TOKENS
+                model=model, messages=[{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}], temperature=TEMPERATURE, max_tokens=MAX_TOKENS
             )
             return got.choices[0].message.content.strip()
         except Exception:  # any failure means: use the template
@@ -44,7 +45,7 @@ def anthropic_completion(model: str, key: str | None) -> Callable[[str], str | N
             import anthropic
 
             got = anthropic.Anthropic(api_key=secret).messages.create(
-                model=model, messages=[{"role": "user", "content": prompt}], temperature=TEMPERATURE, max_tokens=MAX_TOKENS
+                model=model, system=SYSTEM, messages=[{"role": "user", "content": prompt}], temperature=TEMPERATURE, max_tokens=MAX_TOKENS
             )
             return got.content[0].text.strip()
         except Exception:  # any failure means: use the template
