@@ -271,12 +271,13 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
         most = covers.groupBy("node").agg(F.max_by("label", F.struct("covered", "label")).alias("main"), F.max("covered").alias("covered"))
         rest = F.col("n") - F.coalesce("covered", F.lit(0))
         few = rest <= F.least(F.greatest(F.lit(NODE), F.col("n") / 4), F.lit(2 * STAR))
-        state = counts.where(F.col("n") > NODE).select("node", "n").join(most, "node", "left").select(F.col("node").alias("at"), "n", "main", few.alias("few"))
+        state = counts.where(F.col("n") > NODE).select("node", "n").join(most, "node", "left").select(F.col("node").alias("at"), "n", "main", few.alias("few"), (rest > 0).alias("some"))
         state = ws.write(state, f"state-{k}")
         known = star.join(state, F.col("node") == F.col("at"))
         blocks = F.ceil(F.col("n") / STAR).cast("int")
         mine, every = F.pmod(hashed, blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
-        covered = known.where("few").withColumn("i", F.explode(F.when(F.array_contains("labels", F.col("main")), F.array(mine)).otherwise(every)))
+        # where none is left over, the centres have linked all members to one another
+        covered = known.where("few AND some").withColumn("i", F.explode(F.when(F.array_contains("labels", F.col("main")), F.array(mine)).otherwise(every)))
         units.append(covered.select("node", "i", F.col("i").alias("j"), "rep"))
         if k == deepest:
             crowd = known.where("not few").withColumn("mine", mine).withColumn("other", F.explode(every))
