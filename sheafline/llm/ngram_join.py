@@ -247,6 +247,7 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
     level = ws.write(reps.select("rep", "sketch").mapInArrow(roots, place), f"level-{depth}")
     units: list[DataFrame] = []
     links: list[DataFrame] = []
+    crowded = reps.select("rep", "size", "sketch", "bins")
     for k in range(depth, deepest + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(hashed % 1000000007).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x")).where("n > 1")
         counts = ws.write(counts, f"nodes-{k}")
@@ -258,11 +259,13 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
         large = tagged.where(F.col("n") > NODE)
         if large.isEmpty():
             break
+        # only what is in large nodes here can be in large nodes further down
+        crowded = ws.write(crowded.join(large.select("rep").distinct(), "rep", "left_semi"), f"crowded-{k}")
         salts = F.ceil(F.col("n") / STAR).cast("int")
         drawn = F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.col("n")) < CENTRES
         dealt = large.withColumn("centre", drawn).withColumn("own", F.pmod(hashed, salts).cast("int"))
         dealt = dealt.withColumn("salt", F.explode(F.when(F.col("centre"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array("own"))))
-        dealt = dealt.join(reps.select("rep", "size", "bins"), "rep").select("node", "salt", "own", "centre", "rep", "size", "bins")
+        dealt = dealt.join(crowded.select("rep", "size", "bins"), "rep").select("node", "salt", "own", "centre", "rep", "size", "bins")
         dealt = dealt.repartition(n, "node", "salt").sortWithinPartitions("node", "salt")
         star = ws.write(dealt.mapInArrow(star_links, "node long, rep long, labels array<int>, heads array<long>"), f"star-{k}")
         links.append(star.select(F.col("rep").alias("a"), F.explode("heads").alias("b")).where("a <> b"))
@@ -283,7 +286,7 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
             crowd = known.where("not few").withColumn("mine", mine).withColumn("other", F.explode(every))
             units.append(crowd.select("node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep"))
             break
-        split = known.where("not few").join(reps.select("rep", "sketch"), "rep").select("rep", "node", "sketch")
+        split = known.where("not few").join(crowded.select("rep", "sketch"), "rep").select("rep", "node", "sketch")
         level = ws.write(split.mapInArrow(deeper, place), f"level-{k + 1}")
     members = reduce(DataFrame.union, units).join(reps.select("rep", "size", "bins"), "rep")
     members = members.select("node", "i", "j", "rep", "size", "bins").repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j")
