@@ -89,6 +89,12 @@ class Workspace:
         self.tables.append(table)
         return self.spark.table(table)
 
+    def inner(self, name: str) -> Workspace:
+        """A workspace in a folder of this one, to be cleared as soon as what is made of it is written."""
+        made = Workspace(self.spark, name)
+        made.path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        return made
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

@@ -86,7 +86,9 @@ def drop_copies(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     Rows that repeat an id are told apart by their text; of rows that repeat both, one stays.
     """
-    rows = ws.write(exact_rows(docs, ws).where("doc_id IS NOT NULL").select("doc_id", "mark", "kept"), "rows")
+    inner = ws.inner("groups")
+    rows = ws.write(exact_rows(docs, inner).where("doc_id IS NOT NULL").select("doc_id", "mark", "kept"), "rows")
+    inner.clear()
     kept = without(docs, ws, rows.where("not kept"))
     again = ws.write(rows.where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"), "repeated")
     if again.isEmpty():

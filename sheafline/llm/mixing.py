@@ -161,10 +161,12 @@ def repeat_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     any are taken. Rows without an id are told apart by their size.
     """
     # a size only where there is no id
-    times = mix(docs, ws)[0].where("taken > 0").select(
+    inner = ws.inner("mix")
+    times = mix(docs, inner)[0].where("taken > 0").select(
         F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("size")).alias("_size"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")
     )
     times = ws.write(times.groupBy("_id", "_size").agg(F.max("_times").alias("_times")), "times")
+    inner.clear()
     size = F.when(docs["doc_id"].isNull(), words(docs["text"]))
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & size.eqNullSafe(times["_size"]))
     copy = "_copy"

@@ -418,4 +418,7 @@ def one_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     Rows that repeat an id are told apart by their text; rows that repeat both stay or go together.
     """
-    return without(docs, ws, near_rows(docs, ws).where("not kept"))
+    inner = ws.inner("groups")
+    kept = without(docs, ws, near_rows(docs, inner).where("not kept"))
+    inner.clear()
+    return kept
