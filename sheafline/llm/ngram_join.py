@@ -206,9 +206,12 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
 
     def deeper(batches):
         for batch in batches:
-            s = sketches_of(batch.column(2))
-            at, owner = children(batch.column(1).to_numpy().view(np.uint64), np.arange(batch.num_rows), s, chance)
-            yield spots(batch.column(0).to_numpy(), at, owner)
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                nodes = part.column(1)
+                at = nodes.flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(part.num_rows), nodes.value_lengths().to_numpy())
+                at, owner = children(at, owner, sketches_of(part.column(2)), chance)
+                yield spots(part.column(0).to_numpy(), at, owner)
 
     def star_links(batches):
         for (node, salt), group in sorted_groups(batches, 2):
@@ -286,7 +289,9 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
             crowd = known.where("not few").withColumn("mine", mine).withColumn("other", F.explode(every))
             units.append(crowd.select("node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep"))
             break
-        split = known.where("not few").join(crowded.select("rep", "sketch"), "rep").select("rep", "node", "sketch")
+        # a rep's nodes, a few for each run, go on beside one copy of its sketch
+        split = known.where("not few").groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+        split = split.join(crowded.select("rep", "sketch"), "rep").select("rep", "nodes", "sketch")
         level = ws.write(split.mapInArrow(deeper, place), f"level-{k + 1}")
     members = reduce(DataFrame.union, units).join(reps.select("rep", "size", "bins"), "rep")
     members = members.select("node", "i", "j", "rep", "size", "bins").repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j")
