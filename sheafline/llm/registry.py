@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, language_model, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, language_id, language_model, mixing, ngram_join, periodic, ranking, token_counts, token_files, toxicity
 from .common import Workspace, read
 
 
@@ -61,5 +61,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ranking_ties": ranking.op11_ranking_ties,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
 }
-ORACLES = {"op8_embedding_near_dedup": embedding_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op8_embedding_near_dedup": embedding_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_ranking_ties": ranking.ORACLE}
