@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, language_model, mixing, ngram_join, periodic, ranking, token_counts, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, language_id, language_model, mixing, ngram_join, periodic, ranking, token_counts, token_files, topk, toxicity
 from .common import Workspace, read
 
 
@@ -63,5 +63,6 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_ranking_ties": ranking.op11_ranking_ties,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_exact_top_k": topk.op13_exact_top_k,
 }
-ORACLES = {"op8_embedding_near_dedup": embedding_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_ranking_ties": ranking.ORACLE}
+ORACLES = {"op8_embedding_near_dedup": embedding_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_ranking_ties": ranking.ORACLE, "op13_exact_top_k": topk.ORACLE}
