@@ -30,7 +30,7 @@ from .common import Workspace, partitions, read, ship, sorted_groups, trim
 SUBTREE, PAGE, BLOCK = 2048, 128, 256
 #: The most routing objects of the root.
 ROUTES = 1024
-#: Relative error of a distance, at most.
+#: Error of a distance, at most, as a share of the norms of the two.
 SLACK = 1e-6
 NOTHING = np.iinfo(np.int64).min
 
@@ -55,9 +55,9 @@ def distances(x: np.ndarray, lift_x: np.ndarray, y: np.ndarray, lift_y: np.ndarr
     return np.sqrt(np.maximum(square, 0))
 
 
-def slack(d: np.ndarray | float) -> np.ndarray | float:
-    """What rounding may add to or take from a distance."""
-    return SLACK * (1 + d)
+def slack(most: float, x: np.ndarray) -> float:
+    """What rounding may add to or take from the distances of queries ``x``: squares are differences of large numbers."""
+    return SLACK * (1 + np.sqrt(float(most)) + np.sqrt(np.square(x.astype(np.float64)).sum(axis=1).max(initial=0)))
 
 
 class Page:
@@ -125,7 +125,7 @@ def search(pages: list[Page], parent: np.ndarray, most: int, ids: np.ndarray, x:
     Only candidates of ``bound`` or more matter to a query; a candidate of the query's own
     id isn't one.
     """
-    best = Best(ids, bound, k)
+    best, rounding = Best(ids, bound, k), slack(most, x)
     zero, square = np.zeros(len(x)), np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)) + most
 
     def reach(which=slice(None)) -> np.ndarray:
@@ -135,7 +135,7 @@ def search(pages: list[Page], parent: np.ndarray, most: int, ids: np.ndarray, x:
 
     def ball(d: np.ndarray, radius: float) -> np.ndarray:
         """The least distance into a ball, less what rounding may do; infinite stays so."""
-        return d * (1 - SLACK) - radius * (1 + SLACK) - SLACK
+        return d - radius - 3 * rounding
 
     to_parent = distances(x, zero, parent[None, :], lifted(parent[None, :], most))[:, 0]
     # the stored distance to the parent bounds a page before its routing object is looked at
@@ -164,7 +164,7 @@ def search(pages: list[Page], parent: np.ndarray, most: int, ids: np.ndarray, x:
             continue
         # and the stored distance to the routing object bounds an entry
         gap = np.abs(d[which][:, None] - p.to_at[None, :])
-        near = gap - slack(gap + p.to_at[None, :]) <= far[which][:, None]
+        near = gap - 3 * rounding <= far[which][:, None]
         some = np.flatnonzero(near.any(axis=0))
         rows = near.any(axis=1)
         which, near = which[rows], near[rows][:, some]
@@ -250,6 +250,8 @@ def top_scores(vectors: DataFrame, ws: Workspace, queries: Column, k: int = 20,
         cell = max((k for k in unit_of if k[0] == size and unit_of[k] <= unit), key=lambda k: unit_of[k])[1]
         return roots[size][cell]
 
+    arrow = pa.schema([("size", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("ids", "x", "at")], *[(c, pa.float64()) for c in ("lift", "to_parent", "radius")], ("to_at", pa.binary())])
+
     def build(batches):
         for (size, unit), group in sorted_groups(batches, 2):
             x, parent = matrix(group.column("x"), size), parent_of(size, unit)
@@ -259,7 +261,7 @@ def top_scores(vectors: DataFrame, ws: Workspace, queries: Column, k: int = 20,
                     {"size": size, "unit": unit, "kind": 0, "ids": packed(p.ids), "x": packed(p.x), "at": packed(p.at), "lift": p.lift, "to_parent": p.to_parent, "radius": p.radius, "to_at": p.to_at.tobytes()}
                     for p in made
                 ],
-                schema=pa.schema([("size", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("ids", "x", "at")], *[(c, pa.float64()) for c in ("lift", "to_parent", "radius")], ("to_at", pa.binary())]),
+                schema=arrow,
             )
 
     units = partitions(spark)
@@ -291,14 +293,10 @@ def top_scores(vectors: DataFrame, ws: Workspace, queries: Column, k: int = 20,
         both = pages.unionByName(blocks).repartition(units, "unit").sortWithinPartitions("unit", "kind")
         return both.mapInArrow(visits, FOUND)
 
-    page_schema = pages.schema
-
     def asking(size: int, unit: int, query: np.ndarray, ids: np.ndarray, bound: np.ndarray, x: np.ndarray) -> dict:
         none = dict.fromkeys(("lift", "to_parent", "radius"), 0.0)
         return {"size": size, "unit": unit, "kind": 1, "ids": b"", "x": packed(x), "at": packed(np.stack([query, ids, bound])), **none, "to_at": b""}
 
-    arrow = pa.schema([("size", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("ids", "x", "at")], *[(c, pa.float64()) for c in ("lift", "to_parent", "radius")], ("to_at", pa.binary())])
-
     def at_home(batches):
         """Blocks of queries for the subtree that they are in."""
         for (size, unit), group in sorted_groups(batches, 2):
@@ -310,7 +308,7 @@ def top_scores(vectors: DataFrame, ws: Workspace, queries: Column, k: int = 20,
                 yield pa.RecordBatch.from_pylist([asking(size, unit, query[part], ids[part], nothing, x[part])], schema=arrow)
 
     asks = ws.write(dealt.where("asks").select("size", "unit", "query", "id", "x"), "asks")
-    home_blocks = asks.repartition(units, "unit").sortWithinPartitions("size", "unit").mapInArrow(at_home, page_schema)
+    home_blocks = asks.repartition(units, "unit").sortWithinPartitions("size", "unit").mapInArrow(at_home, PAGES)
     home = ws.write(visited(home_blocks), "home")
     bounds = home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query", F.when(F.col("n") >= k, F.col("least")).alias("bound"))
     bounded = asks.join(bounds, "query", "left").select("size", "unit", "query", "id", F.coalesce("bound", F.lit(NOTHING)).alias("bound"), "x")
@@ -328,19 +326,19 @@ def top_scores(vectors: DataFrame, ws: Workspace, queries: Column, k: int = 20,
                     x = matrix(pa.chunked_array([batch.column(5).take(take)]), size)
                     square = np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)) + most
                     far = np.where(bound == NOTHING, np.inf, np.sqrt(np.maximum(square - 2.0 * bound, 0)))
-                    d = distances(x, np.zeros(len(x)), routing, lifted(routing, most))
+                    d, rounding = distances(x, np.zeros(len(x)), routing, lifted(routing, most)), slack(most, x)
                     for (of, cell), first in unit_of.items():
                         if of != size:
                             continue
                         r = radii[of, cell]
-                        ok = d[:, cell] - r - slack(d[:, cell] + r) <= far
+                        ok = d[:, cell] - r - 3 * rounding <= far
                         for unit in range(first, first + parts[of, cell]):
                             chosen = ok & (own != unit)
                             if chosen.any():
                                 yield pa.RecordBatch.from_pylist([asking(size, unit, query[chosen], ids[chosen], bound[chosen], x[chosen])], schema=arrow)
 
     # near queries in one block
-    far_blocks = bounded.repartition(units, "unit").sortWithinPartitions("size", "unit").mapInArrow(elsewhere, page_schema)
+    far_blocks = bounded.repartition(units, "unit").sortWithinPartitions("size", "unit").mapInArrow(elsewhere, PAGES)
     found = home.unionByName(visited(far_blocks))
     # ranked in part before the shuffle
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
