@@ -23,8 +23,9 @@ def strip(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     """Upper case after every character that isn't a letter, lower case after a letter."""
-    chars = F.split(c, "")
-    return F.array_join(F.transform(chars, lambda x, i: F.when(F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(x)).otherwise(F.upper(x))), "")
+    # beside each character the one before it: nothing outside the element is looked at, so time is linear
+    before = F.concat(F.array(F.lit("")), F.split(c, ""))
+    return F.array_join(F.zip_with(F.split(c, ""), before, lambda x, b: F.when(b.rlike(r"\p{L}"), F.lower(x)).otherwise(F.upper(x))), "")
 
 
 def spaced_title(c: Column) -> Column:
@@ -114,24 +115,32 @@ def keyword_hits(c: Column, keywords: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k))
 
 
+#: A line that opens a list of globs, and one that begins with a hyphen; neither reaches beyond its line.
+_OPENS, _BULLET = r"[^\n]*globs:", r"(?U)[\s\x1c-\x1f&&[^\n]]*-"
+
+
 def rewrite_glob(c: Column, pattern: Column) -> Column:
     """After a line that holds ``globs:``, the next line that begins with a hyphen becomes the pattern's.
 
     The flag outlives the list: a later bullet or the closing delimiter is overwritten if
-    no list entry comes first.
+    no list entry comes first. The text is cut before every line of the two kinds; a bullet
+    is overwritten if the piece before its own begins with an opening line. Each piece is
+    looked at with its neighbour only, so time is linear in the text.
     """
     entry = F.concat(F.lit('  - "'), pattern, F.lit('"'))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("on"))
+    cut = F.split(c, rf"(?dm)^(?={_OPENS}|{_BULLET})")
+    before = F.concat(F.array(F.lit("")), cut)
+
+    def opens(piece: Column) -> Column:
+        return F.contains(F.substring_index(piece, NEWLINE, 1), F.lit("globs:"))
 
-    def step(state: Column, line: Column) -> Column:
-        opens = F.contains(line, F.lit("globs:"))
-        hit = ~opens & state.on & F.startswith(strip(line), F.lit("-"))
-        return F.struct(
-            F.concat(state.out, F.array(F.when(hit, entry).otherwise(line))).alias("out"),
-            F.when(opens, True).when(hit, False).otherwise(state.on).alias("on"),
-        )
+    def rewritten(piece: Column, previous: Column) -> Column:
+        first = F.substring_index(piece, NEWLINE, 1)
+        hit = opens(previous) & ~opens(piece) & F.startswith(strip(first), F.lit("-"))
+        return F.when(hit, F.concat(entry, F.substring(piece, F.length(first) + 1, F.length(piece)))).otherwise(piece)
 
-    return F.array_join(F.aggregate(lines(c), empty, step, lambda s: s.out), NEWLINE)
+    # one piece more before than there are: the last has none after it
+    return F.array_join(F.zip_with(cut, before, lambda x, b: F.when(x.isNotNull(), rewritten(x, b))), "")
 
 
 def rewrite_lines(c: Column, token: str, line: str) -> Column:

@@ -41,6 +41,40 @@ def monorepo_rule_names(languages: Column) -> Column:
     return _names(F.array(*map(F.lit, catalog.MONOREPO_UNIVERSAL)), own)
 
 
+def grams(c: Column, n: int) -> Column:
+    """The distinct pieces of n characters."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))
+    return F.when(F.length(c) >= n, F.array_distinct(cut)).otherwise(F.array().cast(_NONE))
+
+
+def first_holding(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """(rule_name, entry, found): for each of ``names(rule_name)``, the first of ``entries(entry, found)`` whose name contains it.
+
+    An index from pieces of up to three characters to entries stands in for comparing all
+    with all. A name meets the entries that hold its rarest piece, and only these are
+    compared whole; a name of one or two characters is its own piece. The empty name is in
+    every entry. Names without an entry have no row; nulls neither ask nor answer. Names
+    should be distinct. Of equal entries, the smaller ``found`` is taken, null first.
+    """
+    names = names.where("rule_name IS NOT NULL").select("rule_name")
+    entries = entries.where("entry IS NOT NULL").select("entry", "found")
+    size = F.length("rule_name")
+    own = F.when(size >= 3, grams(F.col("rule_name"), 3)).otherwise(F.array("rule_name"))
+    asked = names.where("rule_name <> ''").select("rule_name", F.explode(own).alias("gram"))
+    held = F.concat(*[grams(F.col("entry"), n) for n in (1, 2, 3)])
+    # only pieces that are asked for stay in the index
+    index = entries.select("entry", "found", F.explode(held).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    frequent = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(frequent, "gram", "left").groupBy("rule_name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    near = rarest.where("r.n > 0").select("rule_name", F.col("r.gram").alias("gram")).join(index, "gram").where(F.contains("entry", "rule_name"))
+    best = near.groupBy("rule_name").agg(F.min(F.struct("entry", "found")).alias("b"))
+    # the empty name, if it is asked for: one aggregate over both sides
+    either = entries.select(F.struct("entry", "found").alias("b"), F.lit(False).alias("asked"))
+    either = either.unionByName(names.where("rule_name = ''").select(F.lit(None).cast(dict(either.dtypes)["b"]).alias("b"), F.lit(True).alias("asked")))
+    empty = either.agg(F.min("b").alias("b"), F.max("asked").alias("asked")).where("asked AND b IS NOT NULL").select(F.lit("").alias("rule_name"), "b")
+    return best.unionByName(empty).select("rule_name", "b.entry", "b.found")
+
+
 def lookup_rules(names: DataFrame, corpus: DataFrame) -> DataFrame:
     """(rule_name, content) for each distinct name of ``names(rule_name)``.
 
@@ -52,10 +86,8 @@ def lookup_rules(names: DataFrame, corpus: DataFrame) -> DataFrame:
     names = names.select("rule_name").where("rule_name IS NOT NULL").distinct()
     exact = corpus.where("tier = 1").select("rule_name", "content").dropDuplicates(["rule_name"]).withColumn("exact", F.lit(True))
     first = names.join(exact, "rule_name", "left")
-    missing = first.where("exact IS NULL").select("rule_name")
     second = corpus.where("tier = 2").select(F.col("rule_name").alias("entry"), F.col("content").alias("found"))
-    near = missing.join(second, F.contains("entry", "rule_name"))
-    best = near.groupBy("rule_name").agg(F.min_by("found", "entry").alias("found"))
+    best = first_holding(first.where("exact IS NULL"), second).drop("entry")
     return first.join(best, "rule_name", "left").select("rule_name", F.when(F.col("exact"), F.col("content")).otherwise(F.col("found")).alias("content"))
 
 

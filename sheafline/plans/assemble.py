@@ -7,6 +7,7 @@ projects are made together, with one shuffle per document for the fold.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -22,11 +23,54 @@ def cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def fold(sections: DataFrame, key: str, sep: str = "") -> DataFrame:
-    """(key, content): the texts of ``sections(key, ord, text)`` joined in order; null texts are left out."""
+def joined(rows: Column, texts: dict[str, str]) -> list[Column]:
+    """Each text of the sorted rows, joined by its separator."""
+    return [F.array_join(F.transform(rows, lambda r: r[name]), sep).alias(name) for name, sep in texts.items()]
+
+
+def fold_few(sections: DataFrame, key: str, sep: str = "") -> DataFrame:
+    """As ``fold``, for keys whose sections all come from one row, so that they are as few as it lists."""
     kept = sections.where("text IS NOT NULL")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return kept.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x.text), sep).alias("content"))
+    return kept.groupBy(key).agg(*joined(ordered, {"text": sep})).withColumnRenamed("text", "content")
+
+
+def pieces(sections: DataFrame, key: str, texts: dict[str, str]) -> DataFrame:
+    """(key, _range, texts): ``sections(key, ord, texts)`` dealt to ranges of (key, ord), joined within each."""
+    n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sections.repartitionByRange(n, key, "ord", *texts).withColumn("_range", F.spark_partition_id())
+    ordered = F.array_sort(F.collect_list(F.struct("ord", *texts)))
+    return ranged.groupBy(key, "_range").agg(*joined(ordered, texts))
+
+
+def fold_many(sections: DataFrame, key: str, texts: dict[str, str]) -> DataFrame:
+    """(key, texts): each text of ``sections(key, ord, texts)`` joined in order by its own separator.
+
+    ``ord`` may be of any type that has an order. However many sections a key has, a task
+    joins those of one range, and ranges are about equal; what then meets are the ranges'
+    joined texts, which is the document itself.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("_range", *texts)))
+    return pieces(sections, key, texts).groupBy(key).agg(*joined(ordered, texts))
+
+
+def fold(sections: DataFrame, key: str, sep: str = "") -> DataFrame:
+    """(key, content): the texts of ``sections(key, ord, text)`` joined in order; null texts are left out.
+
+    Sections of equal ``ord`` come in the order of their texts. A key without a text has no row.
+    """
+    return fold_many(sections.where("text IS NOT NULL").select(key, "ord", "text"), key, {"text": sep}).withColumnRenamed("text", "content")
+
+
+def within_lines(sections: DataFrame, key: str, most: int, sep: str = "") -> DataFrame:
+    """The sections of which the first ``most`` lines of the joined text take something.
+
+    Line ends before a section are counted over its key, in the partitioning that the fold
+    then uses, so what is beyond the budget is never joined.
+    """
+    ends = F.regexp_count("text", F.lit("\n")) + F.lit(sep.count("\n"))
+    before = F.coalesce(F.sum(ends).over(W.partitionBy(key).orderBy("ord", "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sections.where("text IS NOT NULL").withColumn("_ends", before).where(F.col("_ends") < most).drop("_ends")
 
 
 def fixed_sections(df: DataFrame, key: str, places: dict[int, Column]) -> DataFrame:
@@ -94,7 +138,7 @@ def single_project(requests: DataFrame, corpus: DataFrame) -> DataFrame:
         200000: navigation(fixed.NAVIGATION_SINGLE),
         200001: F.lit(fixed.CRITICAL),
     })
-    return fold(plain.unionByName(rules), ID)
+    return fold_few(plain.unionByName(rules), ID)
 
 
 def package_list(packages: DataFrame) -> DataFrame:
@@ -105,14 +149,14 @@ def package_list(packages: DataFrame) -> DataFrame:
         "\n  - See `", F.col("folder_name"), "/.cursor/rules/` for Cursor rules\n  - See `", F.col("folder_name"), "/AGENTS.md` for cross-tool rules",
     )
     info = cat("- ", F.col("folder_name"), ": ", t.title(F.col("language")), F.when(F.size("frameworks") > 0, cat(" (", F.array_join("frameworks", ", "), ")")), "\n")
-    rows = F.array_sort(F.collect_list(F.struct("place", "folder_name", entry.alias("entry"), info.alias("info"), "language")))
-    got = packages.groupBy("root").agg(rows.alias("rows"))
+    listed = packages.select("root", F.struct("place", "folder_name").alias("ord"), entry.alias("entry"), info.alias("info"))
+    texts = fold_many(listed, "root", {"entry": "\n", "info": ""})
+    # each language once, where it is first: there are no more than the catalog has and the unknown ones
+    seen = packages.groupBy("root", "language").agg(F.min(F.struct("place", "folder_name")).alias("ord"))
+    languages = seen.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "language"))), lambda r: r.language).alias("languages"))
     head = "## Package-Specific Rules\n\nEach package has its own rules. When working in a package, refer to:\n\n"
-    return got.select(
-        "root",
-        cat(head, F.array_join(F.transform("rows", lambda r: r.entry), "\n"), "\n").alias("listed"),
-        cat("\n**Packages:**\n", F.array_join(F.transform("rows", lambda r: r["info"]), "")).alias("info"),
-        F.transform("rows", lambda r: r.language).alias("languages"),
+    return texts.join(languages, "root").select(
+        "root", cat(head, F.col("entry"), "\n").alias("listed"), cat("\n**Packages:**\n", F.col("info")).alias("info"), "languages",
     )
 
 
@@ -123,8 +167,8 @@ def monorepo_root(requests: DataFrame, packages: DataFrame, format_mdc: bool, va
     lines of their own.
     """
     front = ("\n" if valid else "").join(fixed.MONOREPO_FRONTMATTER) + ("\n" if valid else "")
-    joined = requests.join(package_list(packages), requests.project_root == F.col("root"), "left")
-    return fold(fixed_sections(joined, ID, {
+    with_list = requests.join(package_list(packages), requests.project_root == F.col("root"), "left")
+    return fold_few(fixed_sections(with_list, ID, {
         0: F.lit(front if format_mdc else ""),
         1: F.lit("# Monorepo AI Coding Rules"),
         2: project_context(),
@@ -187,7 +231,7 @@ def folder_rules(packages: DataFrame, corpus: DataFrame) -> DataFrame:
         90: commands(),
         91: F.lit(fixed.GOTCHAS),
     })
-    made = fold(plain.unionByName(rules), "package_id")
+    made = fold_few(within_lines(plain.unionByName(rules), "package_id", 150), "package_id")
     return made.select("package_id", t.head_lines(F.col("content"), 150).alias("content"))
 
 
@@ -316,7 +360,7 @@ def prompts(df: DataFrame, corpus: DataFrame, corpus_name: str = "rule-corpus",
     source = source or f"the {corpus_name} repository"
     got = select.with_contents(df, corpus, key, short=t.head_lines(body(), 100, "\n[... truncated ...]"))
     entry = cat(f"### Reference: {corpus_name}/rules-new/", F.col("rule_name"), ".mdc\n", F.col("short"))
-    rules = fold(got.select(key, "ord", entry.alias("text")), key, "\n\n").withColumnRenamed("content", "rules")
+    rules = fold_few(got.select(key, "ord", entry.alias("text")), key, "\n\n").withColumnRenamed("content", "rules")
     head = fixed.PROMPT_RULES.format(corpus=corpus_name, source=source)
     task_head, task_tail = fixed.PROMPT_TASK.split("{rule_type}")
     whole = F.array_join(

@@ -2,8 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="sheafline-")) / "sheafline_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(at))
+    _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one is made for local masters only."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="sheafline-")
+    sc.setCheckpointDir(made)
+    return made
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """The running session, or a new one; adaptive execution on, UTC, Arrow for pandas."""
