@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from . import catalog, schema
 from .functions import text as t
-from .operators import completion, detect, select
+from .operators import answers as answered
+from .operators import detect, select
 from .plans import assemble
+from .session import shared_dir
 from .sources import corpus as corpora
 from .sources import listing, sinks
 
@@ -22,6 +25,12 @@ def request(spark: SparkSession, description: str, language: str, frameworks: li
     return spark.createDataFrame([("request", description, monorepo, language, frameworks, output, root)], schema.REQUEST)
 
 
+def _answers(prompts: DataFrame, ask: Ask, key: str = "request_id") -> DataFrame:
+    """Answers by way of a table in the shared folder; a completion that names its model pays for a prompt once and for all."""
+    model = getattr(ask, "model", None)
+    return answered.answer_once(prompts, ask, f"{shared_dir(prompts.sparkSession)}/answers" + ("" if model else f"-{uuid.uuid4().hex}"), key, model or "")
+
+
 def _context(df: DataFrame, kind: str, mdc: bool, guidelines: str, context, names) -> DataFrame:
     return df.select(
         "*", F.lit(guidelines).alias("general_guidelines"), context.alias("project_context"), F.lit(kind).alias("rule_type"),
@@ -36,7 +45,7 @@ def project_document(requests: DataFrame, corpus: DataFrame, guidelines: str = "
         return template
     names = select.folder_rule_names(F.col("primary_language"), F.col("frameworks"))
     asked = _context(requests, "single_project", False, guidelines, assemble.project_context(), names)
-    answers = completion.complete(assemble.prompts(asked, corpus), ask).persist()
+    answers = _answers(assemble.prompts(asked, corpus), ask)
     return assemble.or_template(answers, template)
 
 
@@ -49,7 +58,7 @@ def root_documents(requests: DataFrame, packages: DataFrame, corpus: DataFrame,
             listed = requests.join(assemble.package_list(packages), requests.project_root == F.col("root"), "left")
             context = assemble.cat(assemble.project_context(), F.coalesce("info", F.lit("\n**Packages:**\n")))
             asked = _context(listed, "monorepo_root", mdc, guidelines, context, select.monorepo_rule_names(F.col("languages")))
-            answers = completion.complete(assemble.prompts(asked, corpus), ask).persist()
+            answers = _answers(assemble.prompts(asked, corpus), ask)
             proper = answers.withColumn("answer", assemble.proper_monorepo_front_matter(t.filled(F.col("answer"), F.lit(None)), mdc))
             made = assemble.or_template(proper, made)
         out = out.unionByName(made.select("request_id", F.lit(path).alias("path"), "content"))
@@ -68,7 +77,7 @@ def package_documents(requests: DataFrame, packages: DataFrame, corpus: DataFram
         long = assemble.cat(head, "**Path:** ", t.before_glob(glob), "\n", tail, "**Glob Pattern:** ", glob, "\n")
         for mdc, context in ((True, long), (False, assemble.cat(head, tail))):
             asked = _context(owned, "folder", mdc, guidelines, context, names)
-            answers = completion.complete(assemble.prompts(asked, corpus, key="package_id"), ask, "package_id").persist()
+            answers = _answers(assemble.prompts(asked, corpus, key="package_id"), ask, "package_id")
             if mdc:
                 fixed = owned.join(answers, "package_id").withColumn("answer", assemble.proper_front_matter(t.filled(F.col("answer"), F.lit(None)), F.col("folder_name"), glob))
                 fixed = fixed.join(answers.where("answer <> ''").select("package_id"), "package_id", "left_semi")

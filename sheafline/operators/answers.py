@@ -52,17 +52,17 @@ def table(spark: SparkSession, at: str) -> DataFrame:
     return got.groupBy("digest").agg(F.min("answer").alias("answer"))
 
 
-def answer_once(prompts: DataFrame, ask: Callable[[str], str | None] | None, at: str, key: str = "request_id") -> DataFrame:
+def answer_once(prompts: DataFrame, ask: Callable[[str], str | None] | None, at: str, key: str = "request_id", model: str = "") -> DataFrame:
     """(key, answer) for ``prompts(key, prompt)``, asking only what the table in the folder ``at`` doesn't answer.
 
-    Equal prompts are asked once. Each answer is kept as soon as it is there, so neither a
+    Equal prompts to one ``model`` are asked once. Each answer is kept as soon as it is there, so neither a
     task that is run again nor a later run asks for it. A prompt without an answer (None)
     stays unanswered and is asked again by a later run; null prompts are never asked. The
     folder must be one that all executors share. Without a completion only known answers
     are given.
     """
     spark = prompts.sparkSession
-    marked = prompts.select(key, "prompt", F.sha2("prompt", 256).alias("digest"))
+    marked = prompts.select(key, "prompt", F.sha2(F.concat(F.lit(model + "\n"), "prompt"), 256).alias("digest"))
     if ask is not None:
         ship(spark)
         spool = f"{at}/spool"

@@ -1,17 +1,13 @@
 """Asking an outside model for a document, where one is given; nothing is asked by default.
 
 A completion is a function: prompt -> text or None. It runs on the executors, in
-batches; a task that is retried asks again, so write the result before using it twice.
+batches, by way of a table of answers (``answers.answer_once``).
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
 #: Fixed values of a request.
 TEMPERATURE, MAX_TOKENS = 0.3, 4000
@@ -33,6 +29,7 @@ def openai_completion(model: str, key: str | None) -> Callable[[str], str | None
         except Exception:  # any failure means: use the template
             return None
 
+    ask.model = f"openai/{model}"
     return ask
 
 
@@ -51,6 +48,7 @@ def anthropic_completion(model: str, key: str | None) -> Callable[[str], str | N
         except Exception:  # any failure means: use the template
             return None
 
+    ask.model = f"anthropic/{model}"
     return ask
 
 
@@ -61,16 +59,3 @@ def completion(provider: str, model: str, openai_key: str | None = None, anthrop
     if provider == "anthropic":
         return anthropic_completion(model, anthropic_key)
     return None
-
-
-def complete(prompts: DataFrame, ask: Callable[[str], str | None] | None, key: str = "request_id") -> DataFrame:
-    """(key, answer) for ``prompts(key, prompt)``; without a completion the plan asks nothing and answers are null."""
-    if ask is None:
-        return prompts.select(key, F.lit(None).cast("string").alias("answer"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "answer": [ask(p) for p in frame["prompt"]]})
-
-    kind = dict(prompts.dtypes)[key]
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, answer string")
