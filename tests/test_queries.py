@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from sheafline.queries import ORACLES, QUERIES
+from sheafline import feature_queries, queries
+
+QUERIES, ORACLES = queries.QUERIES | feature_queries.QUERIES, queries.ORACLES | feature_queries.ORACLES
 
 
 def rows(df, cols):
@@ -14,7 +16,7 @@ def test_query(spark, sf, name):
     got = QUERIES[name](spark, sf).toPandas()
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("part", "events", "documents", "labels", "conversations"):
+        for t in ("part", "events", "documents", "labels", "conversations", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
         want = con.sql(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
