@@ -11,7 +11,7 @@ from sheafline.llm.common import Workspace, read
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
-    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"), Workspace(spark, "toxicity"))
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

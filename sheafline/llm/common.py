@@ -120,11 +120,32 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def matched(docs: DataFrame, ws: Workspace, rows: DataFrame, how: str, name: str, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, mark of the text) is in ``rows(doc_id, mark)``, or isn't, with all their columns."""
+#: Rows of (id, mark) that may go to every task at once, about 100 bytes each; a longer list is joined by a shuffle.
+FEW = 4_000_000
+
+
+def small(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """A written table, to be broadcast if it has no more than ``few`` rows."""
+    return F.broadcast(rows) if rows.limit(few + 1).count() <= few else rows
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A name that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def matched(docs: DataFrame, ws: Workspace, rows: DataFrame, how: str, name: str, text_col: str = "text", few: int = FEW) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, mark of the text) is in ``rows(doc_id, mark)``, or isn't, with all their columns.
+
+    The list is narrow. As long as it has no more than ``few`` rows it goes to the documents,
+    which then stay where they are; beyond, both sides are shuffled.
+    """
     rows = ws.write(rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), name)
     same = (docs["doc_id"].cast("long") == rows["__id"]) & (text_mark(docs[text_col]) == rows["__mark"])
-    return docs.join(rows, same, how)
+    return docs.join(small(rows, few), same, how)
 
 
 def without(docs: DataFrame, ws: Workspace, gone: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, matched, text_mark, without
+from .common import Workspace, free_name, matched, text_mark, without
 
 #: 512 to 4096 characters, ending at the first place after 512 where the content allows: prose, code and encoded bytes all have some.
 CHUNK = r"(?s).{512,4096}?(?:d |\n|[。、，；;=}]|[0-9][a-z])|.{1,4096}"
@@ -93,7 +93,8 @@ def drop_copies(docs: DataFrame, ws: Workspace) -> DataFrame:
     again = ws.write(rows.where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"), "repeated")
     if again.isEmpty():
         return kept
-    several = matched(kept, ws, again, "left_semi", "several").withColumn("__mark", text_mark(F.col("text"))).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+    mark = free_name(docs.columns, "_mark")
+    several = matched(kept, ws, again, "left_semi", "several").withColumn(mark, text_mark(F.col("text"))).dropDuplicates(["doc_id", mark]).drop(mark)
     return matched(kept, ws, again, "left_anti", "single").unionByName(several)
 
 

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, free_name, small
 
 #: The weights of the sources in order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Golden ratio times 2**31, made odd; points are (i * STEP mod 2**31) / 2**31.
 STEP, PERIOD = 1327217885, 2147483648
+#: What the shuffled order comes from.
+SEED = 20
 #: Pieces that a source's shuffled line is sorted in, and cells of the weight table.
 LANES, CELLS = 512, 4096
 #: Slots of the mix, about, however large the sources are; each source has one more at most.
@@ -103,7 +105,16 @@ def schedule(spark, wanted: DataFrame, block: int, ws: Workspace) -> DataFrame:
     return ranked.where("rank < slots").select("i", "slot", "rank", "slots")
 
 
-def mix(docs: DataFrame, ws: Workspace, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 20, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def shuffled(doc_id: Column, size: Column, seed: int) -> Column:
+    """What puts a source's documents in order, within their lane."""
+    return F.xxhash64(F.lit(seed), doc_id, size)
+
+
+def lane_of(mark: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(mark, 40), F.lit(LANES))
+
+
+def mix(docs: DataFrame, ws: Workspace, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = SEED, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(the mix, per document; the slots).
 
     The mix has doc_id, source, size, source_size, target, taken, position (of the document's
@@ -120,9 +131,8 @@ def mix(docs: DataFrame, ws: Workspace, share: float = 1.5, most: float = 2.0, w
         # equal blocks: as many as there are slots, of 16 words at least; a smaller source is one block
         total = wanted.agg(F.sum("need")).first()[0] or 0
         block = max(16, -(-int(total) // SLOTS))
-    mark = F.xxhash64(F.lit(seed), "doc_id", "size")
     lined = rows.join(wanted, rows.source.eqNullSafe(wanted.source)).select("doc_id", rows.source, "size", "i", "source_size", "target")
-    lined = lined.withColumn("mark", mark).withColumn("lane", F.pmod(F.shiftrightunsigned("mark", 40), F.lit(LANES)))
+    lined = lined.withColumn("mark", shuffled(F.col("doc_id"), F.col("size"), seed)).withColumn("lane", lane_of(F.col("mark")))
     lined = ws.write(running(lined, "i", "lane", ["mark", "doc_id", "size"], "size", "position", ws).drop("mark", "lane"), "lined")
 
     need = wanted.select("i", "need", F.col("source_size").alias("line"))
@@ -154,22 +164,37 @@ def mixed(docs: DataFrame, ws: Workspace) -> DataFrame:
     return mix(docs, ws)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def line_place(doc_id: Column, size: Column, seed: int = SEED) -> Column:
+    """A row's place in its source's line, as something that can be compared."""
+    mark = shuffled(doc_id, size, seed)
+    return F.struct(lane_of(mark).alias("lane"), mark.alias("mark"), doc_id.alias("id"), size.alias("size"))
+
+
 def repeat_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, whole, with all their columns.
 
     A document is repeated as often as the mix repeats its words, rounded, at least once if
-    any are taken. Rows without an id are told apart by their size.
+    any are taken. Blocks are taken along a source's line, so along it the repetitions are
+    a few stretches of equal numbers. Their bounds, a row for each source, go to the
+    documents, which stay where they are. Rows that repeat an id and a size are repeated
+    alike, as often as the one of them that is repeated most.
     """
-    # a size only where there is no id
     inner = ws.inner("mix")
-    times = mix(docs, inner)[0].where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("size")).alias("_size"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")
-    )
-    times = ws.write(times.groupBy("_id", "_size").agg(F.max("_times").alias("_times")), "times")
+    taken = mix(docs, inner)[0].where("taken > 0")
+    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
+    place = line_place(F.col("doc_id"), F.col("size"))
+    stretches = taken.select("source", times.alias("times"), place.alias("place")).groupBy("source", "times").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    bounds = ws.write(stretches.groupBy("source").agg(F.collect_list(F.struct("first", "last", "times")).alias("stretches")), "stretches")
     inner.clear()
-    size = F.when(docs["doc_id"].isNull(), words(docs["text"]))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & size.eqNullSafe(times["_size"]))
-    copy = "_copy"
-    while copy in docs.columns:
-        copy += "_"
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy)).drop(copy)
+    bounds = bounds.withColumnsRenamed({"source": "_source"})
+    own = line_place(docs["doc_id"].cast("long"), words(docs["text"]))
+    found = docs.select(*[docs[c] for c in docs.columns], own.alias(free_name(docs.columns, "_place")))
+    at = found.columns[-1]
+    joined = found.join(small(bounds), found["source"].cast("string").eqNullSafe(bounds["_source"]))
+    # a text without words may lie within a stretch, but nothing is taken of it
+    here = F.filter(bounds["stretches"], lambda s: (found[at]["size"] > 0) & (s["first"] <= found[at]) & (found[at] <= s["last"]))
+    times = F.array_max(F.transform(here, lambda s: s["times"]))
+    copy = free_name(docs.columns, "_copy")
+    made = joined.select(*[found[c] for c in docs.columns], times.alias(copy)).where(F.col(f"`{copy}`") > 0)
+    n = made[copy]
+    return made.select(*[made[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias(copy)).drop(copy)

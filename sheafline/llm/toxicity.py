@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, marked_batches, min_labels, remainder, text_batches, text_mark, without
+from .common import marked_batches, min_labels, remainder, ship, text_batches, text_mark
 
 #: Labelled rows that are learnt from at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
@@ -328,6 +329,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return Classifier(names, weights, bias)
 
 
+def scorer(model: Classifier | None):
+    """A function from texts to scores, which remembers words from one block to the next."""
+    features = Features(model.names) if model else None
+
+    def of(whole: list[str]) -> np.ndarray:
+        if model is None:
+            return np.zeros(len(whole))
+        s = np.array([model.weights[features.of(t)].sum() + model.bias for t in whole])
+        return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+
+    return of
+
+
 SCORES = "doc_id long, mark long, score double, predicted int"
 
 
@@ -337,13 +351,9 @@ def score(docs: DataFrame, model: Classifier | None, cut: float = CUT, id_col: s
     Without a model every score is 0.
     """
     def run(batches):
-        features = Features(model.names) if model else None
+        score_of = scorer(model)
         for ids, whole, marks in marked_batches(batches):
-            if model is None:
-                s = np.zeros(len(ids))
-            else:
-                s = np.array([model.weights[features.of(t)].sum() + model.bias for t in whole])
-                s = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+            s = score_of(whole)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), marks, pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "mark", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_mark(F.col(text_col)).alias("mark")).mapInArrow(run, SCORES)
@@ -361,9 +371,24 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored_rows(docs, labels).drop("mark")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns; rows without an id stay.
 
-    Rows that repeat an id are told apart by their text.
+    Rows are dropped in the pass that scores them: each is decided by its own text, so rows
+    that repeat an id are told apart, and no document moves.
     """
-    return without(docs, ws, scored_rows(docs, labels).where("predicted = 1"))
+    model = learn(docs, labels.where(~(remainder(F.col("doc_id"), 3) == 1)))
+    if model is None:
+        return docs
+    ship(docs.sparkSession)
+    names = docs.columns
+    id_at, text_at = (next(i for i, c in enumerate(names) if c == name) for name in ("doc_id", "text"))
+
+    def run(batches):
+        score_of = scorer(model)
+        for batch in batches:
+            toxic = [s >= CUT for _, whole in text_batches([batch.select([id_at, text_at])]) for s in score_of(whole)]
+            stay = ~np.array(toxic, bool) | pc.is_null(batch.column(id_at)).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)

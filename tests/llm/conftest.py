@@ -6,7 +6,7 @@ TEXTS = [
     "trash idiot trash", "<|endoftext|> a <|endoftext|>", "don't I'LL we're", "  two  spaces \n\n and lines\r\n", "a\x1cb \x85 c d", "Σίσυφος ΣΊΣΥΦΟΣ İI",
 ]
 #: Names that the operators use for columns of their own.
-CLASHES = "norm chunks recipe whole id h n texts keep_id kept block words place ids i size mark lane position taken slot rank rep digest node component class_id copies sketch _id y score predicted held_out lang_pred base_score c first w part offset start".split()
+CLASHES = "norm chunks recipe whole id h n texts keep_id kept block words place ids i size mark lane position taken slot rank rep digest node component class_id copies sketch _id y score predicted held_out lang_pred base_score c first w part offset start __mark __id _mark _copy _place times last stretches _source held".split()
 
 
 @pytest.fixture(scope="session")

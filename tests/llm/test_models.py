@@ -38,7 +38,7 @@ def test_toxicity_of_odd_tables(spark, odd, empty, labels):
     assert {(r.score, r.predicted) for r in toxicity.scored(odd, nothing).collect()} == {(0.0, 0)}
     twice = labels.select("doc_id", "toxic").union(labels.select(F.lit(None).cast("long"), F.lit(1))).union(labels.select("doc_id", F.lit(None).cast("int")))
     assert toxicity.scored(odd, twice).count() == odd.count()
-    kept = toxicity.drop_toxic(odd, labels, Workspace(spark, "t"))
+    kept = toxicity.drop_toxic(odd, labels)
     assert kept.columns == odd.columns
 
 

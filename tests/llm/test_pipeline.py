@@ -4,10 +4,11 @@ from collections import Counter
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheafline.llm import bpe, mixing, toxicity
-from sheafline.llm.common import Workspace
+from sheafline.llm.common import Workspace, matched, text_mark
 from test_duplicates import brute, normal
 
 
@@ -58,7 +59,42 @@ def test_stages_against_brute_force(spark, sf, stages):
 
 
 def test_stages_keep_odd_rows(spark, sf, odd, empty):
+    """Columns stay whatever their names, and the rows are those that each stage has to keep."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     for docs in (odd, empty):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, sf).columns == docs.columns, name
-            docs.count() and stage(spark, docs, sf).count()
+        before = Counter(rows(docs))
+        toxic, exact, near, mixed = (stage(spark, docs, sf) for _, stage in corpus_pipeline.STAGES[:-1])
+        for df in (toxic, exact, near, mixed):
+            assert df.columns == docs.columns
+        marked = toxicity.scored_rows(docs, labels)
+        bad = {(r.doc_id, r.mark) for r in marked.where("predicted = 1 AND doc_id IS NOT NULL").collect()}
+        gone = {(r.doc_id, r.text) for r in docs.select("doc_id", "text", text_mark(F.col("text")).alias("m")).collect() if (r.doc_id, r.m) in bad}
+        assert Counter(rows(toxic)) == Counter({k: n for k, n in before.items() if k not in gone})
+        best = {}
+        for i, t in before:
+            if i is not None:
+                best[normal(t)] = max(best.get(normal(t), i), i)
+        assert Counter(rows(exact)) == Counter({(i, t): n if i is None else 1 for (i, t), n in before.items() if i is None or best[normal(t)] == i})
+        taken = mixing.mix(docs, Workspace(spark, "t"))[0].where("taken > 0").collect()
+        times = Counter()
+        for r in taken:
+            times[r.doc_id, r["size"]] = max(times[r.doc_id, r["size"]], max(1, int(r.taken / r["size"] + 0.5)))
+        size = {(r.doc_id, r.text): r.n for r in docs.select("doc_id", "text", mixing.words(F.col("text")).alias("n")).collect()}
+        assert Counter(rows(mixed)) == +Counter({k: n * times[k[0], size[k]] for k, n in before.items()})
+        assert set(rows(near)) <= set(before)
+
+
+def test_lists_too_long_to_broadcast(spark, docs):
+    """Beyond the bound the same rows come out of a join by shuffle."""
+    list_of = docs.where("doc_id % 3 = 0").select("doc_id", text_mark(F.col("text")).alias("mark"))
+    kept = [sorted(rows(matched(docs, Workspace(spark, "t"), list_of, "left_anti", "x", few=few))) for few in (0, 10**6)]
+    assert kept[0] == kept[1] == sorted(r for r in rows(docs) if r[0] % 3)
+    plan = matched(docs, Workspace(spark, "t"), list_of, "left_anti", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()
+
+
+def test_stages_move_no_documents(spark, sf, docs):
+    """Filtering and mixing leave the documents where they are: no shuffle above them."""
+    for stage in (corpus_pipeline.toxicity_stage, corpus_pipeline.exact_dedup_stage, corpus_pipeline.near_dedup_stage, corpus_pipeline.mixing_stage):
+        plan = stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan, stage.__name__
