@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, marked_batches, min_labels, partitions, sorted_groups, text_mark, without
+from .common import Workspace, components, marked_batches, min_labels, partitions, small, sorted_groups, text_mark, without
 
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words a worker remembers the hashes of.
@@ -394,7 +394,8 @@ def near_rows(
     members = ws.write(maybe.withColumnRenamed("id", "rep").join(reps.select("rep", "digest", "first_id", "copies", "size"), "rep"), "maybe-members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / GRAMS)).cast("int")
     chosen = ws.write(members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component"), "chosen")
-    links = verified(texts.join(chosen, F.col("doc_id") == F.col("first_id")), ws, threshold, shingle)
+    # the list is narrow: while it is short it goes to the texts, and only texts of candidates move
+    links = verified(texts.join(small(chosen), F.col("doc_id") == F.col("first_id")), ws, threshold, shingle)
     merged = components(ws, links.where("not alone").select(F.col("rep").alias("a"), F.col("least").alias("b")), "classes-of")
     merged = merged.union(links.where("alone").select(F.col("rep").alias("id"), F.col("least").alias("component"))).withColumnRenamed("id", "rep")
     linked = links.groupBy("rep").agg(F.sum("links").alias("links")).join(merged, "rep").join(reps.select("rep", "digest", "first_id", "copies"), "rep")
