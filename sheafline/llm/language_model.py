@@ -345,10 +345,13 @@ def grown(tree: SuffixTree, context: np.ndarray, symbol: np.ndarray, count: np.n
     return out
 
 
+def may_be_new(symbol: np.ndarray) -> np.ndarray:
+    """Whether a token of the symbol may be one that wasn't learnt: common tokens were."""
+    return (symbol > COMMON) | (symbol == END)
+
+
 def pack_floats(values: np.ndarray) -> bytes:
-    """Values to 13 bits of precision (a relative error of an 8,000th at most), by byte planes, compressed."""
-    bits = np.ascontiguousarray(values, "<f4").ravel().view("<u4")
-    return pack((bits + np.uint32(0x400)) & np.uint32(0xFFFFF800))
+    return pack(np.ascontiguousarray(values, "<f4").view("<u4"))
 
 
 def unpack_floats(data: bytes) -> np.ndarray:
@@ -356,7 +359,7 @@ def unpack_floats(data: bytes) -> np.ndarray:
 
 
 def answers(held: DataFrame, shared, least: int, folds: int, n: int, buckets: int) -> DataFrame:
-    """block, bucket, probs: probabilities of the block's distinct next symbols in their contexts, and of tokens not learnt.
+    """block, bucket, probs: probabilities of the block's distinct next symbols in their contexts, and of tokens not learnt where they may come.
 
     A context's counts and the contexts that ask for it meet in its bucket, so the tree's longer
     contexts grow with the text and no task or driver holds them all.
@@ -389,10 +392,11 @@ def answers(held: DataFrame, shared, least: int, folds: int, n: int, buckets: in
             context, symbol, learnt = found // SYMBOLS, found % SYMBOLS, total > 0
             local = grown(tree, context[learnt], symbol[learnt], total[learnt], least)
             p, unknown = local.at(context, symbol, np.arange(len(found)), ORDER)
-            both = np.stack([p, unknown])
+            new = may_be_new(symbol)
             ends = np.cumsum([len(x) for x in parts])
             for block, lo, hi in zip(group.column("block").to_pylist(), np.r_[0, ends], ends):
-                packed = pack_floats(both[:, which[lo:hi]])
+                own = which[lo:hi]
+                packed = pack_floats(np.r_[p[own], unknown[own[new[own]]]])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["block", "bucket", "probs"])
 
     rows = held.select("block", "doc_ids", "lengths", "places", "words").mapInArrow(count, "bucket int, block long, gaps binary, times binary")
@@ -447,16 +451,19 @@ def score_texts(docs: DataFrame, ws: Workspace, folds: int = 10, least: int = LE
         raw = unpack(row["places"]).astype(np.int64)
         c = np.zeros(int(raw.max()) + 1 if len(raw) else 0, np.int64)
         found, which, bounds = grams_by_bucket(seq, at, buckets)
-        probs = np.empty((2, len(found)), "<f4")
+        new = may_be_new(found % SYMBOLS)
+        known, unknown = np.zeros(len(found)), np.zeros(len(found))
         for packed, bucket, p in zip(*(right.column(x).to_pylist() for x in ("packed", "bucket", "probs"))):
             if packed is not None:
                 places, low, high = unpack(packed).astype(np.int64).reshape(3, -1)
                 c[places] = low | high << 32
             else:
-                probs[:, bounds[bucket] : bounds[bucket + 1]] = unpack_floats(p).reshape(2, -1)
+                lo, hi = bounds[bucket], bounds[bucket + 1]
+                values = unpack_floats(p)
+                known[lo:hi] = values[: hi - lo]
+                unknown[lo:hi][new[lo:hi]] = values[hi - lo :]
         seen = np.insert(c[raw], np.cumsum(lengths), learnt)
         share = np.where(seq[at] > COMMON, seen / np.maximum(mass[seq[at]], 1), 1.0)
-        known, unknown = probs.astype(np.float64)
         logs = np.log10(np.where(seen == 0, unknown[which], known[which] * share))
         first = np.cumsum(lengths + 1) - (lengths + 1)
         base = np.log10(seen + 0.1) - below
