@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import remainder, text_batches
 
-#: Learnt from, for each language: rows about, and words of each row at most, from all over its text.
-ROWS, WORDS = 500, 120
+#: Rows of each language that are learnt from, at most, with their whole texts.
+ROWS = 250
 BITS = 18  # hashed features
 LEXICON = 300  # most common words of each language
 SPLICE = 12  # words between switches, on average, in the sequences learnt from
@@ -36,14 +37,6 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.lower().split() if LETTER.search(w)]
 
 
-def spread(words: list[str], key: int | None) -> list[str]:
-    """All of the words, or ``WORDS`` of them at most: windows chosen by a hash of the key and their position, in order."""
-    if len(words) <= WORDS:
-        return words
-    windows = sorted(range(-(-len(words) // SPLICE)), key=lambda k: zlib.crc32(f"{key} {k}".encode()))[: WORDS // SPLICE]
-    return [w for k in sorted(windows) for w in words[k * SPLICE : (k + 1) * SPLICE]]
-
-
 def features(word: str, lexicon: dict[str, list[str]]) -> np.ndarray:
     """Hashed affixes, n-grams and lexicon entries of a word."""
     w = EDGES.sub("", word)
@@ -195,25 +188,24 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.2, seed:
 
 
 def learn(docs: DataFrame, per_language: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field | None:
-    """A field from at most about ``per_language`` rows of each language, those with the smallest hashes of their id.
+    """A field from the whole texts of at most ``per_language`` different rows of each language.
 
-    Of a long row, ``WORDS`` words come from windows all over its text.
+    Rows are drawn by a hash of their id and text, in its order, and rows that repeat both
+    count once: neither a repeated id nor copies crowd out a language, and reruns agree.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("_id", "text", F.lit(3)))
+    # a row for each language, as the field itself has weights for each
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for lang, k in sizes.items() for x in (lang, min(1.0, per_language / k))])
-    point = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
-    picked = rows.where(point < F.element_at(share, F.col("lang")))
-
-    def shortened(batches):
-        for batch in batches:
-            some = [" ".join(spread(words_of(t), i)) for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.string())], ["_id", "lang", "text"])
-
-    got = picked.select("_id", "lang", "text").mapInArrow(shortened, "_id long, lang string, text string").limit(2 * per_language * len(sizes)).collect()
-    return train([(r.lang, r.text) for r in sorted(got, key=lambda r: (r._id is None, r._id, r.lang, r.text))])
+    # twice as many as are wanted, so that the count may be rough and the draw uneven
+    share = F.create_map(*[F.lit(x) for lang, k in sizes.items() for x in (lang, min(1.0, 2 * per_language / max(k, 1)))])
+    point = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
+    picked = rows.where(point < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])
+    first = W.partitionBy("lang").orderBy(point, "h")
+    got = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("lang", "h", "text").collect()
+    return train([(r.lang, r.text) for r in sorted(got, key=lambda r: (r.lang, r.h))])
 
 
 def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
