@@ -87,12 +87,13 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     """Write ``out/tokens`` and ``out/manifest``.
 
     A null or empty text has the end id alone. A null doc_id comes first. Rows that repeat
-    an id follow one another. An empty table gives files without rows.
+    an id follow one another, by a hash of their text, so that reruns agree. An empty table
+    gives files without rows.
     """
     spark = docs.sparkSession
     n = files or partitions(spark)
     texts = docs.selectExpr(f"CAST({id_col} AS BIGINT) AS doc_id", f"{text_col} AS text")
-    texts = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    texts = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
