@@ -88,3 +88,13 @@ def test_empty_tables(spark, empty):
     assert token_counts.token_counts(empty, JSON).count() == 0
     assert bpe.round_trip(empty, Workspace(spark, "t"), RANKS, P.PATTERN).count() == 0
     assert token_files.write_and_read(empty, Workspace(spark, "t"), WORD).count() == 0
+
+
+def test_rows_that_repeat_an_id_have_one_order(spark):
+    rows = [(i % 3, f"text {i} " + "word " * (i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def got(df):
+        return sorted(tuple(r) for r in token_files.write_and_read(df, Workspace(spark, "t"), WORD).collect())
+
+    assert got(df.repartition(5)) == got(df.orderBy(F.rand(3)).coalesce(1))
