@@ -258,18 +258,19 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
         wanted = counts.where(F.col("n") <= NODE).groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node", "n")
         wanted = wanted.union(counts.where(F.col("n") > NODE).select("node", "n"))
         tagged = ws.write(level.join(wanted, "node").select("node", "n", "rep"), f"members-{k}")
-        units.append(tagged.where(F.col("n") <= NODE).select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep"))
+        units.append(tagged.where(F.col("n") <= NODE).select("rep", "node", F.lit(0).alias("mine"), F.lit(1).alias("blocks"), F.lit("own").alias("meets")))
         large = tagged.where(F.col("n") > NODE)
         if large.isEmpty():
             break
-        # only what is in large nodes here can be in large nodes further down
-        crowded = ws.write(crowded.join(large.select("rep").distinct(), "rep", "left_semi"), f"crowded-{k}")
+        # only what is in large nodes here can be in large nodes further down; a rep's nodes meet one copy of its sketches
+        inside = large.groupBy("rep").agg(F.collect_list(F.struct("node", "n")).alias("nodes"))
+        crowded = ws.write(crowded.select("rep", "size", "sketch", "bins").join(inside, "rep"), f"crowded-{k}")
         salts = F.ceil(F.col("n") / STAR).cast("int")
         drawn = F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.col("n")) < CENTRES
-        dealt = large.withColumn("centre", drawn).withColumn("own", F.pmod(hashed, salts).cast("int"))
+        dealt = crowded.select("rep", "size", "bins", F.explode("nodes").alias("at")).select("rep", "size", "bins", "at.node", "at.n")
+        dealt = dealt.withColumn("centre", drawn).withColumn("own", F.pmod(hashed, salts).cast("int"))
         dealt = dealt.withColumn("salt", F.explode(F.when(F.col("centre"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array("own"))))
-        dealt = dealt.join(crowded.select("rep", "size", "bins"), "rep").select("node", "salt", "own", "centre", "rep", "size", "bins")
-        dealt = dealt.repartition(n, "node", "salt").sortWithinPartitions("node", "salt")
+        dealt = dealt.select("node", "salt", "own", "centre", "rep", "size", "bins").repartition(n, "node", "salt").sortWithinPartitions("node", "salt")
         star = ws.write(dealt.mapInArrow(star_links, "node long, rep long, labels array<int>, heads array<long>"), f"star-{k}")
         links.append(star.select(F.col("rep").alias("a"), F.explode("heads").alias("b")).where("a <> b"))
         # the group of centres that most members are close to; the rest is compared with all if it is small
@@ -281,19 +282,23 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
         state = ws.write(state, f"state-{k}")
         known = star.join(state, F.col("node") == F.col("at"))
         blocks = F.ceil(F.col("n") / STAR).cast("int")
-        mine, every = F.pmod(hashed, blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+        mine = F.pmod(hashed, blocks).cast("int").alias("mine")
         # where none is left over, the centres have linked all members to one another
-        covered = known.where("few AND some").withColumn("i", F.explode(F.when(F.array_contains("labels", F.col("main")), F.array(mine)).otherwise(every)))
-        units.append(covered.select("node", "i", F.col("i").alias("j"), "rep"))
+        meets = F.when(F.array_contains("labels", F.col("main")), "own").otherwise("each")
+        units.append(known.where("few AND some").select("rep", "node", mine, blocks.alias("blocks"), meets.alias("meets")))
         if k == deepest:
-            crowd = known.where("not few").withColumn("mine", mine).withColumn("other", F.explode(every))
-            units.append(crowd.select("node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep"))
+            units.append(known.where("not few").select("rep", "node", mine, blocks.alias("blocks"), F.lit("pairs").alias("meets")))
             break
         # a rep's nodes, a few for each run, go on beside one copy of its sketch
         split = known.where("not few").groupBy("rep").agg(F.collect_list("node").alias("nodes"))
         split = split.join(crowded.select("rep", "sketch"), "rep").select("rep", "nodes", "sketch")
         level = ws.write(split.mapInArrow(deeper, place), f"level-{k + 1}")
-    members = reduce(DataFrame.union, units).join(reps.select("rep", "size", "bins"), "rep")
+    # as above, a rep's nodes meet one copy of its sketch; only then are they dealt to the blocks of each node
+    listed = reduce(DataFrame.union, units).groupBy("rep").agg(F.collect_list(F.struct("node", "mine", "blocks", "meets")).alias("nodes"))
+    members = listed.join(reps.select("rep", "size", "bins"), "rep").select("rep", "size", "bins", F.explode("nodes").alias("at")).select("rep", "size", "bins", "at.*")
+    members = members.withColumn("other", F.explode(F.when(F.col("meets") == "own", F.array("mine")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    first = F.when(F.col("meets") == "pairs", F.col("mine")).otherwise(F.col("other"))
+    members = members.withColumn("i", F.least(first, "other")).withColumn("j", F.greatest(first, "other"))
     members = members.select("node", "i", "j", "rep", "size", "bins").repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j")
     found = members.mapInArrow(pair_links, "a long, b long")
     return ws.write(reduce(DataFrame.union, links, found).distinct(), "linked")
