@@ -12,32 +12,50 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions.text import keyword_hits
 
-_DEPENDENCIES = "dependencies map<string,string>, devDependencies map<string,string>"
+PARTS = ("$.dependencies", "$.devDependencies")
+FOLDER = ("root", "parent", "folder")
 
 
 def dependency_keys(content: Column) -> Column:
-    """Keys of both dependency maps of a package file; a missing, null or non-object part is empty."""
-    parsed = F.from_json(content, f"struct<{_DEPENDENCIES}>")
-    none = F.array().cast("array<string>")
-    return F.array_union(F.coalesce(F.map_keys(parsed["dependencies"]), none), F.coalesce(F.map_keys(parsed["devDependencies"]), none))
+    """Keys of both dependency objects of a package file; a missing, null or non-object part is empty."""
+    parsed, none = F.try_parse_json(content), F.array().cast("array<string>")
+    return F.array_union(*[F.coalesce(F.map_keys(F.try_variant_get(parsed, p, "map<string,variant>")), none) for p in PARTS])
+
+
+def dependency_rows(files: DataFrame, content: str) -> DataFrame:
+    """``files`` with ``dep``, a row per dependency of the package file in ``content``, and ``malformed``.
 
+    The text is parsed once. A file without dependencies keeps rows whose ``dep`` is null, as a missing,
+    null or non-object part has none. What isn't JSON, or repeats a key within an object, is malformed. Rows of
+    a file stay where it is: there is no shuffle.
+    """
+    parsed = files.withColumn("_parsed", F.try_parse_json(content))
+    parts = parsed.withColumn("malformed", F.col("_parsed").isNull()).withColumn("_part", F.explode(F.array(*[F.try_variant_get("_parsed", p, "variant") for p in PARTS])))
+    rows = parts.lateralJoin(files.sparkSession.tvf.variant_explode_outer(F.col("_part").outer()))
+    return rows.withColumnRenamed("key", "dep").drop("_parsed", "_part", "pos", "value")
 
-def malformed(content: Column) -> Column:
-    return F.try_parse_json(content).isNull()
 
+def dependency_frameworks(files: DataFrame, content: str, known: DataFrame | None = None) -> DataFrame:
+    """``files`` (a row per folder) with ``malformed``, ``typed`` and ``by_dependency``, the frameworks of its dependencies.
 
-def npm_frameworks(keys: Column) -> Column:
-    """Frameworks of the dependencies present, in the table's order, each once."""
-    table = F.array(*[F.struct(F.lit(d).alias("dep"), F.lit(f).alias("framework")) for d, f in catalog.NPM])
-    hit = F.filter(table, lambda x: F.array_contains(keys, x.dep))
-    return F.array_distinct(F.transform(hit, lambda x: x.framework))
+    ``known(pos, dep, framework)`` is the table of dependencies, of any size; frameworks come in its order, each once.
+    Spark chooses the join by the table's size; with a broadcast, rows aren't shuffled at all if ``files``
+    is partitioned by folder.
+    """
+    known = F.broadcast(catalog.npm_frameworks(files.sparkSession)) if known is None else known
+    rows = dependency_rows(files, content).join(known.select("dep", F.struct("pos", "framework").alias("hit")), "dep", "left")
+    others = [F.any_value(c).alias(c) for c in files.columns if c not in FOLDER]
+    hits = F.transform(F.array_sort(F.collect_set("hit")), lambda x: x.framework)
+    return rows.groupBy(*FOLDER).agg(
+        *others, F.any_value("malformed").alias("malformed"), F.coalesce(F.bool_or(F.col("dep") == "typescript"), F.lit(False)).alias("typed"), F.array_distinct(hits).alias("by_dependency")
+    )
 
 
-def folder_technology(listing: DataFrame) -> DataFrame:
+def folder_technology(listing: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(root, parent, folder, language, frameworks, warning) per folder; language is null if nothing marks it.
 
     ``listing`` has a row per file, with the content of package.json, requirements.txt
-    and pyproject.toml.
+    and pyproject.toml. ``known`` is as in ``dependency_frameworks``.
     """
     def has(*names: str) -> Column:
         return F.coalesce(F.bool_or(F.col("name").isin(*names)), F.lit(False))
@@ -45,34 +63,34 @@ def folder_technology(listing: DataFrame) -> DataFrame:
     def text(name: str) -> Column:
         return F.max(F.when(F.col("name") == name, F.coalesce("content", F.lit(""))))
 
-    found = listing.groupBy("root", "parent", "folder").agg(
+    found = listing.groupBy(*FOLDER).agg(
         *[has(*names).alias(f"is_{lang}") for lang, names in catalog.MARKERS.items()],
         has("tsconfig.json").alias("tsconfig"),
         text("package.json").alias("package"), text("requirements.txt").alias("requirements"), text("pyproject.toml").alias("pyproject"),
     )
-    keys = dependency_keys(F.col("package"))
-    bad = malformed(F.col("package"))
-    script = F.when(bad, "javascript").when(F.col("tsconfig") | F.array_contains(keys, "typescript"), "typescript").otherwise("javascript")
+    found = dependency_frameworks(found, "package", known)
+    bad = F.col("malformed")
+    script = F.when(bad, "javascript").when(F.col("tsconfig") | F.col("typed"), "typescript").otherwise("javascript")
     chain = [F.when(F.col(f"is_{lang}"), script if lang == "javascript" else F.lit(lang)) for lang in catalog.MARKERS]
     none = F.array().cast("array<string>")
     language = F.coalesce(*chain)
     by_keyword = keyword_hits(F.concat_ws("\n", "requirements", "pyproject"), catalog.PYTHON_KEYWORDS)
     frameworks = (
         F.when(F.col("language") == "python", by_keyword)
-        .when(F.col("language").isin("javascript", "typescript"), F.when(bad, none).otherwise(npm_frameworks(keys)))
+        .when(F.col("language").isin("javascript", "typescript"), F.col("by_dependency"))
         .otherwise(none)
     )
     warning = F.when(F.col("language").isin("javascript", "typescript") & bad, "package.json could not be parsed")
-    return found.withColumn("language", language).select("root", "parent", "folder", "language", frameworks.alias("frameworks"), warning.alias("warning"))
+    return found.withColumn("language", language).select(*FOLDER, "language", frameworks.alias("frameworks"), warning.alias("warning"))
 
 
-def discover_packages(listing: DataFrame) -> DataFrame:
+def discover_packages(listing: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Packages of each root, in order: classified folders in the package directories, or else the root's own folders.
 
     ``parent`` is the package directory's name, or '' for a folder directly below the root.
     """
     name = F.element_at(F.split("folder", "/"), -1)
-    classified = folder_technology(listing).where("language IS NOT NULL").withColumn("folder_name", name)
+    classified = folder_technology(listing, known).where("language IS NOT NULL").withColumn("folder_name", name)
     visible = classified.where(~F.startswith("folder_name", F.lit(".")))
     place = F.array_position(F.array(*map(F.lit, catalog.PACKAGE_DIRS)), F.col("parent")).cast("int")
     ranked = visible.withColumn("place", place).where((F.col("place") > 0) | (F.col("parent") == ""))

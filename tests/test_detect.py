@@ -46,4 +46,31 @@ def test_classification_is_one_shuffle_without_python(spark):
     plan = detect.folder_technology(listing(spark, FOLDERS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
     assert detect.folder_technology(spark.createDataFrame([], schema.LISTING)).count() == 0
-    assert detect.npm_frameworks(F.array(F.lit("x"))) is not None
+
+
+def test_dependencies_of_odd_parts(spark):
+    files = ['{"dependencies": {"a": 1, "b": {"x": null}}, "devDependencies": {"a": 2, "": 3}}', '{"dependencies": [{"a": 1}], "devDependencies": "b"}', "[1]", "null", "3", "{bad", "", None, '{"a": 1, "a": 2}']
+    rows = spark.createDataFrame([("r", "", str(i), f) for i, f in enumerate(files)], "root string, parent string, folder string, package string")
+    got = {}
+    for r in detect.dependency_rows(rows, "package").collect():
+        got.setdefault((int(r.folder), r.malformed), set()).add(r.dep)
+    none = {None}
+    assert got == {(0, False): {"a", "b", ""}, (1, False): none, (2, False): none, (3, False): none, (4, False): none, (5, True): none, (6, True): none, (7, True): none, (8, True): none}
+    keys = {int(r.folder): r.k for r in rows.select("folder", detect.dependency_keys(F.col("package")).alias("k")).collect()}
+    assert {i: sorted(k) for i, k in keys.items()} == {0: ["", "a", "b"]} | {i: [] for i in range(1, 9)}
+
+
+def test_frameworks_by_a_table_of_dependencies(spark):
+    table = spark.range(5000).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("dep"), F.col("id") % 2500).alias("dep"), F.concat(F.lit("fw"), F.col("id") % 7).alias("framework"))
+    files = {str(i): ({"package.json": json.dumps({"dependencies": {f"dep{i}": "1", "other": "2"}, "devDependencies": {f"dep{i + 1}": "1"}})}, 0, 0) for i in range(40)}
+    expected = {}
+    for i in range(40):
+        hits = sorted(p for p in range(5000) if p % 2500 in (i, i + 1))
+        expected[str(i)] = list(dict.fromkeys(f"fw{p % 7}" for p in hits))
+    for size in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            got = {r.folder.split("/")[1]: r.frameworks for r in detect.folder_technology(listing(spark, files), table).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == expected
