@@ -1,7 +1,10 @@
+import math
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sheafline.llm import mixing
@@ -27,6 +30,42 @@ def targets(sizes, share=1.5, most=2.0, weights=(3.0, 1.0, 2.0)):
     return out
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def taken_by_hand(texts):
+    """(doc_id, source, size, taken) of rows (doc_id, source, text): every word taken is counted one by one.
+
+    A source's line is its rows in the order of lane, hash, id and size; the mix takes the line's words from its
+    beginning, and again from there, until it has as many as the target.
+    """
+    lines = defaultdict(list)
+    for i, s, t in texts:
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+        for x in (i, size):
+            h = h if x is None else xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        lines[s].append(((h >> 40) % mixing.LANES, signed(h), i is not None, i or 0, size, i))
+    want = targets({s: sum(r[4] for r in rows) for s, rows in lines.items()})
+    out = []
+    for s, rows in lines.items():
+        rows.sort()
+        owner = [k for k, r in enumerate(rows) for _ in range(r[4])]
+        taken = Counter(owner[w % len(owner)] for w in range(math.floor(want[s] + 0.5))) if owner else Counter()
+        out += [(r[5], s, r[4], taken[k]) for k, r in enumerate(rows)]
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "sf"])
+def test_taken_of_each_document(spark, sf, request, which):
+    df = spark.read.parquet(f"{sf}/documents.parquet") if which == "sf" else request.getfixturevalue(which)
+    want = taken_by_hand([(r.doc_id, r.source, r.text) for r in df.select("doc_id", "source", "text").collect()])
+    for block in (None, 7, 1000):
+        got = mixing.mix(df, Workspace(spark, "t"), block=block)[0].collect()
+        assert Counter((r.doc_id, r.source, r["size"], r.taken) for r in got) == Counter(want)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_mix(spark, request, which):
     df = request.getfixturevalue(which)

@@ -10,6 +10,7 @@ import corpus_pipeline
 from sheafline.llm import bpe, mixing, toxicity
 from sheafline.llm.common import Workspace, matched, text_mark
 from test_duplicates import brute, normal
+from test_mixing import taken_by_hand
 
 
 def kept_exactly(rows):
@@ -51,7 +52,8 @@ def test_stages_against_brute_force(spark, sf, stages):
     assert sorted(rows(toxic[1])) == sorted(r for r in rows(toxic[0]) if r[0] not in bad)
     assert sorted(rows(exact[1])) == kept_exactly(rows(exact[0]))
     assert sorted(rows(near[1])) == kept_nearly(rows(near[0]))
-    taken = {r.doc_id: max(1, int(r.taken / r["size"] + 0.5)) for r in mixing.mix(mixed[0], Workspace(spark, "t"))[0].collect() if r.taken}
+    sources = [(r.doc_id, r.source, r.text) for r in mixed[0].select("doc_id", "source", "text").collect()]
+    taken = {i: max(1, int(n / size + 0.5)) for i, _, size, n in taken_by_hand(sources) if n}
     assert Counter(i for i, _ in rows(mixed[1])) == taken
     table = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.ranks(path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = Counter((i, len(table.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows(mixed[1]))
