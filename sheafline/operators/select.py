@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..session import shared_dir
 
 _NONE = "array<string>"
+#: Bytes of what is made for lists that go to all rows as a table; beyond, both sides are shuffled.
+SENT = 64 << 20
 
 
 def _names(*parts: Column) -> Column:
@@ -101,10 +106,38 @@ def filled_rules(names: DataFrame, corpus: DataFrame, **made: Column) -> DataFra
     return found.select("rule_name", "content", *[c.alias(k) for k, c in made.items()])
 
 
+def per_list(df: DataFrame, by: list[str], made: Callable[[DataFrame, str], DataFrame], most: int = SENT) -> DataFrame:
+    """``df`` with ``made``, which depends on the columns ``by`` alone; null where there is none.
+
+    ``made(lists, key)`` gives (key, made) for ``lists``, the different values of ``by`` with
+    all of them as one ``key``. It is worked out once for each and kept in the checkpoint
+    folder. Up to ``most`` bytes of it go to the rows; beyond, both sides are shuffled. Spark's
+    own estimate would send the rows. These are dealt evenly first, as what is then made in
+    them is far larger than the few blocks of a file that they come from.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(df.sparkSession)
+    key = F.struct(*by)
+    # a checkpoint before as well, or filters on what is made would be worked out for each row
+    lists = df.select(*by).distinct().checkpoint()
+    got = made(lists.withColumn("_list", key), "_list").select("_list", "made").checkpoint()
+    size = got.agg(F.sum(F.octet_length(F.col("made").cast("string")))).first()[0] or 0
+    return df.repartition(n).withColumn("_list", key).join(got.hint("broadcast" if size <= most else "merge"), "_list", "left").drop("_list")
+
+
+def listed_contents(lists: DataFrame, corpus: DataFrame, key: str, **made: Column) -> DataFrame:
+    """(key, ord, rule_name, content, ``made``) of ``lists(key, names)``; missing and empty documents are dropped."""
+    listed = lists.select(key, F.posexplode("names").alias("ord", "rule_name"))
+    return listed.hint("merge").join(filled_rules(listed, corpus, **made), "rule_name").select(key, "ord", "rule_name", "content", *made)
+
+
 def with_contents(wanted: DataFrame, corpus: DataFrame, key: str = "request_id", **made: Column) -> DataFrame:
     """(key, ord, rule_name, content, ``made``) of ``wanted(key, names)``; missing and empty documents are dropped."""
-    listed = wanted.select(key, F.posexplode("names").alias("ord", "rule_name"))
-    return listed.join(filled_rules(listed, corpus, **made), "rule_name").select(key, "ord", "rule_name", "content", *made)
+    def gathered(lists: DataFrame, one: str) -> DataFrame:
+        got = listed_contents(lists, corpus, one, **made)
+        return got.groupBy(one).agg(F.array_sort(F.collect_list(F.struct("ord", "rule_name", "content", *made))).alias("made"))
+
+    return per_list(wanted.select(key, "names"), ["names"], gathered).select(key, F.inline("made"))
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column | str], n: int) -> DataFrame:

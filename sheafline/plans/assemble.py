@@ -1,7 +1,8 @@
 """Documents as ordered sections, folded into artifacts.
 
 Requests, packages and rules stay relations throughout: the documents of any number of
-projects are made together, with one shuffle per document for the fold.
+projects are made together. What depends on a language and frameworks alone is made once for
+each that are asked for, and a document is put together in its request's own row.
 """
 
 from __future__ import annotations
@@ -73,19 +74,22 @@ def within_lines(sections: DataFrame, key: str, most: int, sep: str = "") -> Dat
     return sections.where("text IS NOT NULL").withColumn("_ends", before).where(F.col("_ends") < most).drop("_ends")
 
 
-def fixed_sections(df: DataFrame, key: str, places: dict[int, Column]) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(o).alias("ord"), c.alias("text")) for o, c in places.items()])
-    return df.select(key, F.explode(rows).alias("s")).select(key, F.col("s.ord").alias("ord"), F.col("s.text").alias("text"))
+def rule_sections(lists: DataFrame, key: str, wanted: Column, corpus: DataFrame, **made: Column) -> DataFrame:
+    """(key, ord, heading, kind, ``made``): ``wanted`` lists struct(ord, rule, heading, kind).
 
+    What is ``made`` of a rule's content is made once a rule, before the rules meet the lists.
+    """
+    listed = lists.select(key, F.explode(wanted).alias("w")).select(key, "w.*").withColumnRenamed("rule", "rule_name")
+    return listed.hint("merge").join(select.filled_rules(listed, corpus, **made), "rule_name")
 
-def rule_sections(df: DataFrame, key: str, wanted: Column, corpus: DataFrame, shape, **made: Column) -> DataFrame:
-    """Sections from rules: ``wanted`` lists struct(ord, rule, heading, kind); ``shape(heading, kind)`` gives the text.
 
-    What it takes from a rule's content is ``made`` once a rule, before the rules meet the requests.
-    """
-    listed = df.select(key, F.explode(wanted).alias("w")).select(key, "w.*").withColumnRenamed("rule", "rule_name")
-    got = listed.join(select.filled_rules(listed, corpus, **made), "rule_name")
-    return got.select(key, "ord", shape(F.col("heading"), F.col("kind")).alias("text"))
+def with_rules(df: DataFrame, language: str, wanted: Column, corpus: DataFrame, shape, **made: Column) -> DataFrame:
+    """``df`` with ``made``, the joined texts of the rules that its language and frameworks want; ``shape(heading, kind)`` gives a text."""
+    def texts(lists: DataFrame, key: str) -> DataFrame:
+        got = rule_sections(lists, key, wanted, corpus, **made).select(key, "ord", shape(F.col("heading"), F.col("kind")).alias("text"))
+        return fold_few(got, key).withColumnRenamed("content", "made")
+
+    return select.per_list(df, [language, "frameworks"], texts)
 
 
 def body() -> Column:
@@ -129,16 +133,12 @@ def single_project(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     theirs = wanted(200, F.transform(_asked(), F.lower), F.transform(_asked(), t.spaced_title), "framework")
     universal = select.universal_without(F.col("frameworks"))
     shared = wanted(100000, universal, F.transform(universal, t.spaced_title), "universal")
-    rules = rule_sections(requests, ID, F.concat(own, theirs, shared), corpus, best_practices, body=body())
-    plain = fixed_sections(requests, ID, {
-        0: F.lit("# AI Coding Agent Rules\n"),
-        1: project_context(),
-        2: F.lit(fixed.GENERAL_PRINCIPLES),
-        3: F.when(F.col("is_monorepo"), fixed.MONOREPO_STRUCTURE),
-        200000: navigation(fixed.NAVIGATION_SINGLE),
-        200001: F.lit(fixed.CRITICAL),
-    })
-    return fold_few(plain.unionByName(rules), ID)
+    with_text = with_rules(requests, "primary_language", F.concat(own, theirs, shared), corpus, best_practices, body=body())
+    whole = cat(
+        "# AI Coding Agent Rules\n", project_context(), fixed.GENERAL_PRINCIPLES, F.when(F.col("is_monorepo"), fixed.MONOREPO_STRUCTURE), F.col("made"),
+        navigation(fixed.NAVIGATION_SINGLE), fixed.CRITICAL,
+    )
+    return with_text.select(ID, whole.alias("content"))
 
 
 def package_list(packages: DataFrame) -> DataFrame:
@@ -168,16 +168,11 @@ def monorepo_root(requests: DataFrame, packages: DataFrame, format_mdc: bool, va
     """
     front = ("\n" if valid else "").join(fixed.MONOREPO_FRONTMATTER) + ("\n" if valid else "")
     with_list = requests.join(package_list(packages), requests.project_root == F.col("root"), "left")
-    return fold_few(fixed_sections(with_list, ID, {
-        0: F.lit(front if format_mdc else ""),
-        1: F.lit("# Monorepo AI Coding Rules"),
-        2: project_context(),
-        3: F.lit(fixed.GENERAL_PRINCIPLES),
-        4: F.when(F.col("is_monorepo"), fixed.MONOREPO_STRUCTURE),
-        5: F.col("listed"),
-        6: navigation(fixed.NAVIGATION_MONOREPO),
-        7: F.lit(fixed.CRITICAL),
-    }), ID)
+    whole = cat(
+        front if format_mdc else "", "# Monorepo AI Coding Rules", project_context(), fixed.GENERAL_PRINCIPLES,
+        F.when(F.col("is_monorepo"), fixed.MONOREPO_STRUCTURE), F.col("listed"), navigation(fixed.NAVIGATION_MONOREPO), fixed.CRITICAL,
+    )
+    return with_list.select(ID, whole.alias("content"))
 
 
 def folder_glob() -> Column:
@@ -210,8 +205,8 @@ def commands() -> Column:
     return cat("## Commands\n", catalog.lookup(texts, F.col("language")), "\n")
 
 
-def folder_rules(packages: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(package_id, content) of each package's rule document, at most 150 lines."""
+def with_folder_rules(packages: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``packages`` with ``content``, each one's rule document, at most 150 lines."""
     rule = catalog.rule_name(F.col("language"))
     own = wanted(10, select.one(rule), F.array(t.title(F.col("language"))), "language")
     own = F.when(rule.isNotNull(), own).otherwise(F.slice(own, 1, 0))
@@ -223,20 +218,21 @@ def folder_rules(packages: DataFrame, corpus: DataFrame) -> DataFrame:
 
     long = t.head_lines(body(), 100, "\n\n[... additional rules apply from general guidelines ...]")
     short = t.head_lines(body(), 80, "\n\n[... truncated for brevity ...]")
-    rules = rule_sections(packages, "package_id", F.concat(own, theirs), corpus, shape, long=long, short=short)
-    plain = fixed_sections(packages, "package_id", {
-        0: front_matter(F.col("folder_name"), folder_glob()),
-        1: cat("# ", t.title(F.col("folder_name")), " Package\n\nThis folder contains the **", F.col("folder_name"), "** package.\n\n"),
-        2: _stack("\n"),
-        90: commands(),
-        91: F.lit(fixed.GOTCHAS),
-    })
-    made = fold_few(within_lines(plain.unionByName(rules), "package_id", 150), "package_id")
-    return made.select("package_id", t.head_lines(F.col("content"), 150).alias("content"))
+    with_text = with_rules(packages, "language", F.concat(own, theirs), corpus, shape, long=long, short=short)
+    whole = cat(
+        front_matter(F.col("folder_name"), folder_glob()),
+        "# ", t.title(F.col("folder_name")), " Package\n\nThis folder contains the **", F.col("folder_name"), "** package.\n\n",
+        _stack("\n"), F.col("made"), commands(), fixed.GOTCHAS,
+    )
+    return with_text.withColumn("content", t.head_lines(whole, 150)).drop("made")
 
 
-def agents_document(packages: DataFrame) -> DataFrame:
-    """(package_id, content) of each package's cross-tool document, at most 80 lines."""
+def folder_rules(packages: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(package_id, content) of each package's rule document, at most 150 lines."""
+    return with_folder_rules(packages, corpus).select("package_id", "content")
+
+
+def agents_content() -> Column:
     notes = {k: "\n".join(v) + "\n" for k, v in fixed.AGENTS_NOTES.items()}
     listed = {k: "\n".join(v) + "\n" for k, v in fixed.AGENTS_COMMANDS.items()}
     whole = cat(
@@ -245,7 +241,12 @@ def agents_document(packages: DataFrame) -> DataFrame:
         catalog.lookup(notes, F.col("language")),
     )
     # sections are joined, not ended, by line ends
-    return packages.select("package_id", t.head_lines(F.regexp_replace(whole, "\n\\z", ""), 80).alias("content"))
+    return t.head_lines(F.regexp_replace(whole, "\n\\z", ""), 80)
+
+
+def agents_document(packages: DataFrame) -> DataFrame:
+    """(package_id, content) of each package's cross-tool document, at most 80 lines."""
+    return packages.select("package_id", agents_content().alias("content"))
 
 
 def shared_files(requests: DataFrame, corpus: DataFrame, main: DataFrame | None = None) -> DataFrame:
@@ -266,10 +267,14 @@ def shared_files(requests: DataFrame, corpus: DataFrame, main: DataFrame | None
         entry("framework", low, F.transform(_asked(), t.spaced_title), low),
         entry("universal", universal, F.transform(universal, t.spaced_title), universal),
     )
-    listed = requests.select(ID, F.explode(everything).alias("w")).select(ID, "w.*")
-    got = listed.join(select.filled_rules(listed, corpus, body=body()), "rule_name").dropDuplicates([ID, "kind", "name"])
-    ending = F.when(F.col("kind") == "universal", "").otherwise(" Best Practices")
-    rules = got.select(ID, cat(".ai-rules/", F.col("kind"), "-", F.col("name"), ".md").alias("path"), cat("# ", F.col("heading"), ending, "\n\n", F.col("body")).alias("content"))
+    def files(lists: DataFrame, one: str) -> DataFrame:
+        listed = lists.select(one, F.posexplode(everything).alias("ord", "w")).select(one, "ord", "w.*")
+        got = select.first_per_group(listed, [one, "kind", "name"], ["ord"], 1).hint("merge").join(select.filled_rules(listed, corpus, body=body()), "rule_name")
+        ending = F.when(F.col("kind") == "universal", "").otherwise(" Best Practices")
+        path, content = cat(".ai-rules/", F.col("kind"), "-", F.col("name"), ".md"), cat("# ", F.col("heading"), ending, "\n\n", F.col("body"))
+        return got.groupBy(one).agg(F.collect_list(F.struct(path.alias("path"), content.alias("content"))).alias("made"))
+
+    rules = select.per_list(requests.select(ID, "primary_language", "frameworks"), ["primary_language", "frameworks"], files).select(ID, F.inline("made"))
 
     def index_lines(items: Column, line) -> Column:
         return F.array_join(F.transform(items, line), "")
@@ -338,16 +343,11 @@ def monorepo_files(requests: DataFrame, packages: DataFrame, corpus: DataFrame)
     out = requests.select(ID, F.lit(".cursor/rules/security.mdc").alias("path"), F.lit(fixed.SECURITY).alias("content"))
     for path, made in root:
         out = out.unionByName(made.select(ID, F.lit(path).alias("path"), "content"))
-    owned = with_ids(requests, packages)
-    rules = folder_rules(owned, corpus).withColumn("kind", F.lit(0))
-    agents = agents_document(owned)
-    both = agents.withColumn("kind", F.explode(F.array(F.lit(1), F.lit(2))))
-    at = owned.select("package_id", ID, "folder_path", "folder_name").join(rules.unionByName(both), "package_id")
-    path = (
-        F.when(F.col("kind") == 0, cat(F.col("folder_path"), "/.cursor/rules/", F.col("folder_name"), "-patterns.mdc"))
-        .when(F.col("kind") == 1, cat(F.col("folder_path"), "/AGENTS.md")).otherwise(cat(F.col("folder_path"), "/CLAUDE.md"))
-    )
-    return out.unionByName(at.select(ID, path.alias("path"), "content"))
+    made = with_folder_rules(with_ids(requests, packages), corpus).withColumn("agents", agents_content())
+    at = F.col("folder_path")
+    files = {cat(at, "/.cursor/rules/", F.col("folder_name"), "-patterns.mdc"): "content", cat(at, "/AGENTS.md"): "agents", cat(at, "/CLAUDE.md"): "agents"}
+    rows = F.array(*[F.struct(path.alias("path"), F.col(c).alias("content")) for path, c in files.items()])
+    return out.unionByName(made.select(ID, F.inline(rows)))
 
 
 def with_ids(requests: DataFrame, packages: DataFrame) -> DataFrame:
@@ -358,9 +358,12 @@ def with_ids(requests: DataFrame, packages: DataFrame) -> DataFrame:
 def prompts(df: DataFrame, corpus: DataFrame, corpus_name: str = "rule-corpus", source: str | None = None, key: str = ID) -> DataFrame:
     """(key, prompt) for rows with general_guidelines, project_context, rule_type, format_mdc and names (of rules, in order)."""
     source = source or f"the {corpus_name} repository"
-    got = select.with_contents(df, corpus, key, short=t.head_lines(body(), 100, "\n[... truncated ...]"))
-    entry = cat(f"### Reference: {corpus_name}/rules-new/", F.col("rule_name"), ".mdc\n", F.col("short"))
-    rules = fold_few(got.select(key, "ord", entry.alias("text")), key, "\n\n").withColumnRenamed("content", "rules")
+
+    def references(lists: DataFrame, one: str) -> DataFrame:
+        got = select.listed_contents(lists, corpus, one, short=t.head_lines(body(), 100, "\n[... truncated ...]"))
+        entry = cat(f"### Reference: {corpus_name}/rules-new/", F.col("rule_name"), ".mdc\n", F.col("short"))
+        return fold_few(got.select(one, "ord", entry.alias("text")), one, "\n\n").withColumnRenamed("content", "made")
+
     head = fixed.PROMPT_RULES.format(corpus=corpus_name, source=source)
     task_head, task_tail = fixed.PROMPT_TASK.split("{rule_type}")
     whole = F.array_join(
@@ -368,14 +371,14 @@ def prompts(df: DataFrame, corpus: DataFrame, corpus_name: str = "rule-corpus",
             F.lit(fixed.PROMPT_HEADER),
             cat("## General Guidelines for Effective Rules\n\n", F.col("general_guidelines")),
             cat("## Project Context\n\n", F.col("project_context")),
-            F.when(F.col("rules").isNull(), fixed.PROMPT_NO_RULES).otherwise(cat(head, F.col("rules"))),
+            F.when(F.col("made").isNull(), fixed.PROMPT_NO_RULES).otherwise(cat(head, F.col("made"))),
             cat(task_head, F.col("rule_type"), task_tail),
             F.when(F.col("format_mdc"), fixed.PROMPT_MDC).otherwise(fixed.PROMPT_MARKDOWN),
             F.lit(fixed.PROMPT_FOOTER.replace("{corpus}", corpus_name)),
         ),
         "\n\n",
     )
-    return df.join(rules, key, "left").select(key, whole.alias("prompt"))
+    return select.per_list(df, ["names"], references).select(key, whole.alias("prompt"))
 
 
 def or_template(answers: DataFrame, template: DataFrame, key: str = ID) -> DataFrame:
