@@ -106,23 +106,26 @@ def filled_rules(names: DataFrame, corpus: DataFrame, **made: Column) -> DataFra
     return found.select("rule_name", "content", *[c.alias(k) for k, c in made.items()])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in tasks of equal size: what is then made in them is far larger than the few blocks of a file that they come from."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def per_list(df: DataFrame, by: list[str], made: Callable[[DataFrame, str], DataFrame], most: int = SENT) -> DataFrame:
     """``df`` with ``made``, which depends on the columns ``by`` alone; null where there is none.
 
     ``made(lists, key)`` gives (key, made) for ``lists``, the different values of ``by`` with
     all of them as one ``key``. It is worked out once for each and kept in the checkpoint
     folder. Up to ``most`` bytes of it go to the rows; beyond, both sides are shuffled. Spark's
-    own estimate would send the rows. These are dealt evenly first, as what is then made in
-    them is far larger than the few blocks of a file that they come from.
+    own estimate would send the rows, which are only dealt evenly.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared_dir(df.sparkSession)
     key = F.struct(*by)
     # a checkpoint before as well, or filters on what is made would be worked out for each row
     lists = df.select(*by).distinct().checkpoint()
     got = made(lists.withColumn("_list", key), "_list").select("_list", "made").checkpoint()
     size = got.agg(F.sum(F.octet_length(F.col("made").cast("string")))).first()[0] or 0
-    return df.repartition(n).withColumn("_list", key).join(got.hint("broadcast" if size <= most else "merge"), "_list", "left").drop("_list")
+    return dealt(df).withColumn("_list", key).join(got.hint("broadcast" if size <= most else "merge"), "_list", "left").drop("_list")
 
 
 def listed_contents(lists: DataFrame, corpus: DataFrame, key: str, **made: Column) -> DataFrame:

@@ -291,7 +291,7 @@ def shared_files(requests: DataFrame, corpus: DataFrame, main: DataFrame | None
         "You can manually reference specific rule files when needed, or let the tools automatically load the appropriate rules based on context.\n",
     )
     first = main.select(ID, F.lit(".ai-rules/project-rules.md").alias("path"), "content")
-    return first.unionByName(rules).unionByName(requests.select(ID, F.lit(".ai-rules/README.md").alias("path"), readme.alias("content")))
+    return first.unionByName(rules).unionByName(select.dealt(requests).select(ID, F.lit(".ai-rules/README.md").alias("path"), readme.alias("content")))
 
 
 def mdc_pointer(description: Column, pattern: Column | None, always: bool) -> Column:
