@@ -345,8 +345,8 @@ def monorepo_files(requests: DataFrame, packages: DataFrame, corpus: DataFrame)
         out = out.unionByName(made.select(ID, F.lit(path).alias("path"), "content"))
     made = with_folder_rules(with_ids(requests, packages), corpus).withColumn("agents", agents_content())
     at = F.col("folder_path")
-    files = {cat(at, "/.cursor/rules/", F.col("folder_name"), "-patterns.mdc"): "content", cat(at, "/AGENTS.md"): "agents", cat(at, "/CLAUDE.md"): "agents"}
-    rows = F.array(*[F.struct(path.alias("path"), F.col(c).alias("content")) for path, c in files.items()])
+    files = [(cat(at, "/.cursor/rules/", F.col("folder_name"), "-patterns.mdc"), "content"), (cat(at, "/AGENTS.md"), "agents"), (cat(at, "/CLAUDE.md"), "agents")]
+    rows = F.array(*[F.struct(path.alias("path"), F.col(c).alias("content")) for path, c in files])
     return out.unionByName(made.select(ID, F.inline(rows)))
 
 
