@@ -9,77 +9,151 @@ few documents. A manifest has one row per file with the place of its first id.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, text_batches
+from .bpe import ragged
+from .common import Workspace, partitions, trim
 from .token_counts import byte_symbols
 
 ROW = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
-#: Chunks remembered by a worker before it starts anew.
+#: Parts of chunks remembered by a worker before it starts anew.
 REMEMBERED = 1_500_000
-#: Letters that the library's tables and Python's surely class and lower alike.
-SURE = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+#: Letters that the library's tables and Python's surely class and lower alike; composing (NFC) leaves them as they are.
+SURE = r"^[\x21-\x7eÀ-ÖØ-öø-ÿ]+$"
+#: The library's pattern for lower-cased SURE characters, with the ends of lines between chunks.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n").findall
 
 
-def chunk_encoder(path: str):
-    """A function: white-space-free chunk -> its ids as little-endian unsigned 32-bit.
+class Rows:
+    """Lists of ids, end to end in arrays that grow by doubling."""
+
+    def __init__(self) -> None:
+        self.ids, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, lists: list[list[int]]) -> None:
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ends = self.at[self.n] + np.cumsum(size)
+        if not len(ends):
+            return
+        while len(self.at) <= self.n + len(ends):
+            self.at = np.r_[self.at, np.zeros_like(self.at)]
+        while len(self.ids) < ends[-1]:
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.ids[int(self.at[self.n]) : int(ends[-1])] = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        self.at[self.n + 1 : self.n + 1 + len(ends)] = ends
+        self.n += len(ends)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the rows' ids, joined; their lengths)"""
+        size = self.at[rows + 1] - self.at[rows]
+        return ragged(self.ids, self.at[rows], size), size
+
+
+class Numbers(dict):
+    """key -> its number; ``fresh`` has the keys that were new, in order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        found = self[key] = len(self)
+        return found
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def taken(self) -> list[str]:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+def text_encoder(path: str):
+    """A function: array of texts -> (the ids of all, joined; how many each has); a null text has none.
 
     The library drops white space and never joins what it separates, so a text's ids are
-    those of its chunks. Plain chunks go straight to the library's model, others through
-    its whole encode.
+    those of its chunks between ASCII white space. A block's different chunks are found by
+    Arrow. Plain ones are cut into parts all together, and new parts go straight to the
+    library's model; other chunks, also such as hold white space or a special token, go
+    through its whole encode.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
     symbol = {b: s for s, b in byte_symbols().items()}
-    parts: dict[str, bytes] = {}
+    state: dict = {}
 
-    def part(word: str) -> bytes:
+    def part(word: str) -> list[int]:
+        if word == "\n":
+            return []
         if not word.isascii():
             word = "".join(map(symbol.__getitem__, word.encode()))
-        return np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
-
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            if SURE.fullmatch(chunk) and not ("<|" in chunk and any(s in chunk for s in specials)):
-                out = []
-                for word in find(unicodedata.normalize("NFC", chunk).lower()):
-                    got = parts.get(word)
-                    if got is None:
-                        got = parts[word] = part(word)
-                    out.append(got)
-                found = b"".join(out)
-            else:
-                found = np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-            self[chunk] = found
-            return found
-
-    chunks = Chunks()
-    # white space as the library's pattern has it: str.split() would cut at \x1c-\x1f too
-    odd = regex.compile(r"[\x1c-\x1f]").search
-    space = regex.compile(r"\s+").split
-
-    def encode(text: str) -> bytes:
-        if len(chunks) > REMEMBERED:
-            chunks.clear()
-            parts.clear()
-        pieces = text.split() if not odd(text) else [p for p in space(text) if p]
-        return b"".join(map(chunks.__getitem__, pieces))
+        return [t.id for t in model.tokenize(word)]
+
+    def plain(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(chunks):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), "\n")[0].as_py()
+        numbers, rows = state["parts"]
+        at = numbers.of(PARTS(joined.lower()))
+        rows.add([part(w) for w in numbers.taken()])
+        ids, size = rows.of(at)
+        ends = np.r_[np.flatnonzero(at == numbers["\n"]), len(at)]
+        return ids, np.diff(np.r_[0, np.cumsum(size)][np.r_[0, ends]])
+
+    def others(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        numbers, rows = state["others"]
+        at = numbers.of(chunks.to_pylist())
+        rows.add([tokenizer.encode(c, add_special_tokens=False).ids for c in numbers.taken()])
+        return rows.of(at)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not state or sum(len(numbers) for numbers, _ in state.values()) > REMEMBERED:
+            state.update(parts=(Numbers(), Rows()), others=(Numbers(), Rows()))
+            state["parts"][0]["\n"]  # the first part, without ids
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        chunks = lists.flatten().dictionary_encode()
+        known = chunks.dictionary
+        sure = pc.match_substring_regex(known, SURE)
+        for s in specials:
+            sure = pc.and_not(sure, pc.match_substring(known, s))
+        a, size_a = plain(known.filter(sure))
+        b, size_b = others(known.filter(pc.invert(sure)))
+        sure = sure.to_numpy(zero_copy_only=False)
+        size, start = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        size[sure], size[~sure] = size_a, size_b
+        start[sure], start[~sure] = np.cumsum(size_a) - size_a, len(a) + np.cumsum(size_b) - size_b
+        at = chunks.indices.to_numpy()
+        n = size[at]
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ragged(np.concatenate([a, b]), start[at], n), np.diff(np.r_[0, np.cumsum(n)][bounds])
 
     return encode
 
 
+def blocks(batches, block_bytes: int):
+    """The batches, cut into slices that hold ``block_bytes`` of text (column 1) and at most one text more."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(size) - size) // block_bytes
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 _ENCODERS: dict = {}
 
 
@@ -94,24 +168,25 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     n = files or partitions(spark)
     texts = docs.selectExpr(f"CAST({id_col} AS BIGINT) AS doc_id", f"{text_col} AS text")
     texts = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, chunk_encoder(path))
+        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, text_encoder(path))
         upto = 0
-        for ids, whole in text_batches(batches, 4 << 20):
-            found = [encode(t) + end for t in whole]
-            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        for block in blocks(batches, 8 << 20):
+            found, size = encode(block.column(1))
+            found = np.insert(found, np.cumsum(size), end_id)
+            size = size + 1
             ends = np.cumsum(size)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(found.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part, np.int32)), pa.array(ids, pa.int64()), pa.array(upto + ends - size), pa.array(size), lists],
+                [pa.array(np.full(len(size), part, np.int32)), block.column(0), pa.array(upto + ends - size), pa.array(size), lists],
                 ["part", "doc_id", "offset", "n_tokens", "ids"],
             )
             upto += int(ends[-1])
+        trim()
 
     options = {
         "compression": "zstd",

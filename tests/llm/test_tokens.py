@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -99,3 +101,25 @@ def test_rows_that_repeat_an_id_have_one_order(spark):
         return sorted(tuple(r) for r in token_files.write_and_read(df, Workspace(spark, "t"), WORD).collect())
 
     assert got(df.repartition(5)) == got(df.orderBy(F.rand(3)).coalesce(1))
+
+
+def test_a_block_of_words_is_the_librarys_and_cut_once(monkeypatch):
+    """Texts of a block are encoded together: each different word is cut once, however often it is there."""
+    seen, cut = [], token_files.PARTS
+    monkeypatch.setattr(token_files, "PARTS", lambda text: seen.append(text) or cut(text))
+    encode, t = token_files.text_encoder(WORD), Tokenizer.from_file(WORD)
+    rng = random.Random(4)
+    signs = [*"abzAZ09'’s t\t\n\r\x0b\x0c\x1c\x1d\x1f\x85\xa0\u3000\u200b\x00ßÿÀÖ×÷µªº²İıſКж日ก\u0301😀<|>.,", "<|endoftext|>", "'re", "I'm", "e\u0301"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    for texts in (["Same words, " * 5000, "", None, "same Words, words"], odd, [], [None]):
+        ids, n = encode(pa.array(texts, pa.string()))
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert sorted(seen[0].split("\n")) == ["same", "same", "words", "words,", "words,"]
+
+
+def test_blocks_of_a_batch():
+    texts = ["x" * n for n in (3, 9, 0, 30, 1, 1, 1, 12)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    got = [b.column(1).to_pylist() for b in token_files.blocks([batch, batch.slice(0, 0)], 10)]
+    assert sum(got, []) == texts and len(got) > 2 and all(sum(len(x or "") for x in b[:-1]) <= 10 for b in got)
