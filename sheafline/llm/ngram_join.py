@@ -6,8 +6,9 @@ coordinate with a probability that lets a pair at the threshold share ``GROWTH``
 level on average, and sets that share the value there go on together. Small nodes are
 compared by brute force. In a large one a few members are centres: if nearly all others
 are close to them, only the rest is compared with everything, and otherwise the node is
-split again. Runs repeat until a pair at the threshold is missed with a small probability
-even at the deepest level.
+split again, unless all such nodes together are few enough pairs to be compared whole.
+Runs repeat until a pair at the threshold is missed with a small probability even at the
+deepest level.
 
 Nodes compare bin sketches, whose bounds let pass few pairs that are well below the
 threshold. What they link is gathered once with its whole sets, and every pair in it is
@@ -34,6 +35,8 @@ REMEMBERED = 200_000
 BLOCK, GRAMS = 1024, 1 << 19
 #: The largest node that is compared at once; centres of a larger one, about, and members that meet them together.
 NODE, CENTRES, STAR = 256, 16, 1024
+#: Pairs of sketches for each set: nodes that together have no more are compared whole rather than split.
+PAIRS = 1024
 #: Paths that a pair at the threshold shares a level, on average; above 1, so that deep levels still miss few pairs.
 GROWTH = 1.25
 #: Bins of the sketch that is compared.
@@ -251,6 +254,7 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
     units: list[DataFrame] = []
     links: list[DataFrame] = []
     crowded = reps.select("rep", "size", "sketch", "bins")
+    most_pairs = PAIRS * reps.count()
     for k in range(depth, deepest + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(hashed % 1000000007).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x")).where("n > 1")
         counts = ws.write(counts, f"nodes-{k}")
@@ -286,7 +290,9 @@ def candidates(reps: DataFrame, ws: Workspace, threshold: float, miss: float, sk
         # where none is left over, the centres have linked all members to one another
         meets = F.when(F.array_contains("labels", F.col("main")), "own").otherwise("each")
         units.append(known.where("few AND some").select("rep", "node", mine, blocks.alias("blocks"), meets.alias("meets")))
-        if k == deepest:
+        pairs = state.where("not few").agg(F.sum(F.col("n") * (F.col("n") - 1.0) / 2)).first()[0] or 0
+        if k == deepest or pairs <= most_pairs:
+            # a level costs some ten shuffles, however little is left
             units.append(known.where("not few").select("rep", "node", mine, blocks.alias("blocks"), F.lit("pairs").alias("meets")))
             break
         # a rep's nodes, a few for each run, go on beside one copy of its sketch

@@ -161,6 +161,19 @@ def test_pairs_at_the_threshold_in_crowded_nodes(spark, monkeypatch):
     assert sum(r.n_links == 0 for r in got) / 2 <= 0.002 * pairs
 
 
+@pytest.mark.parametrize("pairs", [0, ngram_join.PAIRS])
+def test_few_pairs_are_not_split_again(spark, monkeypatch, pairs):
+    """Nodes that hold few pairs together are compared whole: no further levels, and the same links."""
+    monkeypatch.setattr(ngram_join, "NODE", 8)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    written, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda ws, df, name, **options: written.append(name) or write(ws, df, name, **options))
+    rows = [(2 * p + k, " ".join([*(f"p{p}w{j}" for j in range(30)), *(["same words at every end"] * 3), f"x{k}"])) for p in range(150) for k in (0, 1)]
+    got = ngram_join.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    assert sorted(repr((r.doc_id, r.class_id, r.n_links)) for r in got) == brute(rows)
+    assert "state-2" in written and ("level-3" in written) == (pairs == 0)
+
+
 def test_one_of_each(spark, docs):
     got = ngram_join.one_of_each(docs, Workspace(spark, "t"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
