@@ -33,7 +33,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of every document, with digests of a round trip."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     # smaller blocks than by itself: the workers still hold what earlier stages have left
-    return bpe.round_trip(docs, Workspace(spark, "encoding"), path, public_tokenizers.PATTERN, block_bytes=8 << 20)
+    return bpe.round_trip(docs, Workspace(spark, "encoding"), path, public_tokenizers.PATTERN, block_bytes=4 << 20)
 
 
 STAGES = [

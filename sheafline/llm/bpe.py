@@ -13,15 +13,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, text_batches
-from .pretokens import Pieces, pattern_splitter
+from .common import Numbers, Workspace, batch_bytes, partitions, sliced, trim
+from .pretokens import BESIDE, pattern_splitter
 
 DIGESTED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -71,6 +73,63 @@ def unpack_ragged(packed: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     return head[:n], head[n:], raw[8 + 4 * (n + m) :]
 
 
+def pretokens(texts: pa.Array, split) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct pre-tokens; those of all texts by number, joined; how many each text has); a null text has none.
+
+    As ``Pieces``, but the pieces are found by Arrow, so that a block's texts never are lists of objects.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    numbers = Numbers()
+    found, size = array("I"), array("q")
+
+    def learn(piece: str) -> None:
+        words = split(piece)
+        found.extend(map(numbers.__getitem__, words))
+        size.append(len(words))
+
+    whole = np.fromiter((bool(BESIDE.search(t.as_py())) for t in texts), bool, len(texts))
+    cut = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+    pieces, bounds = cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    first = bounds[:-1]
+    rest, heads = pieces.dictionary_encode(), pieces.take(pa.array(first)).dictionary_encode()
+    at = rest.indices.to_numpy().astype(np.int64)
+    at[first] = len(rest.dictionary) + heads.indices.to_numpy()
+    used = np.zeros(len(rest.dictionary) + len(heads.dictionary), bool)
+    used[at] = True
+    for k, piece in enumerate(rest.dictionary):
+        learn(" " + piece.as_py()) if used[k] else size.append(0)
+    for piece in heads.dictionary:
+        learn(piece.as_py())
+    for k in np.flatnonzero(whole).tolist():
+        learn(texts[k].as_py())
+    # a text that is cut has a piece for each space, another one is a piece by itself
+    count = np.ones(len(texts), np.int64)
+    count[~whole] = np.diff(bounds)
+    order = np.empty(int(count.sum()), np.int64)
+    own = np.repeat(whole, count)
+    order[~own], order[own] = at, len(used) + np.arange(int(whole.sum()))
+    words = list(numbers)
+    del cut, pieces, rest, heads, at, own, texts, numbers  # what follows needs room of its own
+    trim()
+    n = np.frombuffer(size, np.int64)
+    starts, lengths = np.cumsum(n) - n, n[order]
+    sizes = np.diff(np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(count)]])
+    return words, ragged(np.frombuffer(found, np.uint32), starts[order], lengths), sizes
+
+
+def packed_words(words: list[str], place: np.ndarray, buckets: int) -> list[bytes | None]:
+    """The words, with their places, by bucket."""
+    raw = [w.encode() for w in words]
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    out: list[bytes | None] = []
+    for lo, hi in zip(ends, ends[1:]):
+        mine = [raw[k] for k in order[lo:hi].tolist()]
+        out.append(pack_ragged(place[order[lo:hi]], np.array(list(map(len, mine))), b"".join(mine)) if mine else None)
+    return out
+
+
 def blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
     """A row per block: its documents as places in its list of distinct pre-tokens, and that list by bucket of word."""
     def run(batches):
@@ -78,29 +137,26 @@ def blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> Dat
 
         part = TaskContext.get().partitionId() << 32
         split = pattern_splitter(pattern)
-        for k, (ids, texts) in enumerate(text_batches(batches, block_bytes)):
-            pieces = Pieces(split)
-            found = [np.array(pieces.sequence(t), np.uint32) for t in texts]
-            flat = np.concatenate(found)
-            common = np.argsort(-np.bincount(flat, minlength=len(pieces.words)), kind="stable")
+        for k, block in enumerate(sliced(batches, block_bytes)):
+            words, flat, sizes = pretokens(block.column(1), split)
+            common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             place = np.empty(len(common), np.uint32)
             place[common] = np.arange(len(common))
-            dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(buckets)]
-            for at, word in zip(place.tolist(), (w.encode() for w in pieces.words)):
-                where = dealt[zlib.crc32(word) % buckets]
-                where[0].append(at)
-                where[1].append(word)
-            packed = [pack_ragged(np.array(p), np.array(list(map(len, w))), b"".join(w)) if p else None for p, w in dealt]
+            packed = packed_words(words, place, buckets)
+            places = pack(place[flat])
+            del words, flat, common, place
+            trim()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part + k], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([pack(np.array([len(x) for x in found], np.uint32))], pa.binary()),
-                    pa.array([pack(place[flat])], pa.binary()),
+                    pa.array([block.column(0).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([pack(sizes)], pa.binary()),
+                    pa.array([places], pa.binary()),
                     pa.array([packed], pa.list_(pa.binary())),
                 ],
                 ["block", "doc_ids", "lengths", "places", "words"],
             )
+            del packed, places
 
     return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, places binary, words array<binary>")
 
@@ -114,7 +170,8 @@ def reassembled(docs: DataFrame, ws: Workspace, path: str, pattern: str, finish,
     docs = docs.selectExpr(f"CAST({id_col} AS BIGINT) AS doc_id", f"{text_col} AS text")
     spark = docs.sparkSession
     n = partitions(spark)
-    held = ws.write_bucketed(blocks(docs, pattern, block_bytes, 8 * n), "blocks", "block", n)
+    with batch_bytes(spark, block_bytes):
+        held = ws.write_bucketed(blocks(docs, pattern, block_bytes, 8 * n), "blocks", "block", n)
 
     def encoded(batches):
         import tiktoken

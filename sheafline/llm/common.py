@@ -11,7 +11,9 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is written within hands its Python tasks batches of ``most`` bytes or so, not of thousands of whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -186,6 +200,37 @@ def text_batches(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYT
     trim()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices that hold ``block_bytes`` of text (column 1) and at most one text more."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(size) - size) // block_bytes
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
+class Numbers(dict):
+    """key -> its number; ``fresh`` has the keys that were new, in order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        found = self[key] = len(self)
+        return found
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def taken(self) -> list[str]:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
 def marked_batches(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str], pa.Array]]:
     """As ``text_batches``, with column 2 beside them; a block doesn't go beyond its batch."""
     for batch in batches:
@@ -224,8 +269,6 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tu
 
 def min_labels(linked) -> list[int]:
     """Smallest index reachable, for each row of a symmetric boolean matrix."""
-    import numpy as np
-
     n = len(linked)
     label = np.arange(n)
     while True:

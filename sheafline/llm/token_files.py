@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import ragged
-from .common import Workspace, partitions, trim
+from .common import Numbers, Workspace, partitions, sliced, trim
 from .token_counts import byte_symbols
 
 ROW = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
@@ -58,26 +58,6 @@ class Rows:
         return ragged(self.ids, self.at[rows], size), size
 
 
-class Numbers(dict):
-    """key -> its number; ``fresh`` has the keys that were new, in order."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self.fresh.append(key)
-        found = self[key] = len(self)
-        return found
-
-    def of(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
-
-    def taken(self) -> list[str]:
-        fresh, self.fresh = self.fresh, []
-        return fresh
-
-
 def text_encoder(path: str):
     """A function: array of texts -> (the ids of all, joined; how many each has); a null text has none.
 
@@ -143,17 +123,6 @@ def text_encoder(path: str):
     return encode
 
 
-def blocks(batches, block_bytes: int):
-    """The batches, cut into slices that hold ``block_bytes`` of text (column 1) and at most one text more."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        block = (np.cumsum(size) - size) // block_bytes
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
-            if hi > lo:
-                yield batch.slice(lo, hi - lo)
-
-
 _ENCODERS: dict = {}
 
 
@@ -175,7 +144,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
         part = TaskContext.get().partitionId()
         encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, text_encoder(path))
         upto = 0
-        for block in blocks(batches, 8 << 20):
+        for block in sliced(batches, 8 << 20):
             found, size = encode(block.column(1))
             found = np.insert(found, np.cumsum(size), end_id)
             size = size + 1

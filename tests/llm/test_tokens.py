@@ -12,8 +12,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheafline.llm import bpe, token_counts, token_files
+from sheafline.llm import bpe, common, token_counts, token_files
 from sheafline.llm.common import Workspace
+from sheafline.llm.pretokens import Pieces, pattern_splitter
 
 JSON, RANKS, WORD = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 
@@ -121,5 +122,27 @@ def test_a_block_of_words_is_the_librarys_and_cut_once(monkeypatch):
 def test_blocks_of_a_batch():
     texts = ["x" * n for n in (3, 9, 0, 30, 1, 1, 1, 12)] + [None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
-    got = [b.column(1).to_pylist() for b in token_files.blocks([batch, batch.slice(0, 0)], 10)]
+    got = [b.column(1).to_pylist() for b in common.sliced([batch, batch.slice(0, 0)], 10)]
     assert sum(got, []) == texts and len(got) > 2 and all(sum(len(x or "") for x in b[:-1]) <= 10 for b in got)
+
+
+def test_pretokens_of_a_block_are_those_of_its_pieces():
+    rng = random.Random(5)
+    signs = [*"abAZ09'’s t\t\n\x0b\x0c\x1c\x85\xa0\u3000\x00ßéжд日😀.,", "'re", " ", " ", "  ", " \n"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    split = pattern_splitter(P.PATTERN)
+    for texts in ([*odd, None, "", " ", " a", "a "], [], [None], ["  "], ["a b", "a b"]):
+        words, flat, sizes = bpe.pretokens(pa.array(texts, pa.string()), split)
+        pieces, ends = Pieces(split), np.cumsum(sizes)
+        got = [[words[k] for k in flat[a:b]] for a, b in zip(ends - sizes, ends)]
+        assert got == [[pieces.words[k] for k in pieces.sequence(t or "")] for t in texts]
+
+
+def test_blocks_are_written_from_small_batches(spark, docs):
+    """Tasks get batches of a block's size at most, and the session's setting stays."""
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], Workspace.write_bucketed
+    before = spark.conf.get(key, None)
+    ws = Workspace(spark, "t")
+    ws.write_bucketed = lambda *a: seen.append(spark.conf.get(key)) or write(ws, *a)
+    bpe.round_trip(docs, ws, RANKS, P.PATTERN, block_bytes=1 << 20)
+    assert seen == [str(1 << 20)] and spark.conf.get(key, None) == before
